@@ -6,17 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
-from .common import ship, table
+from . import bpe, mixing, warc
+from .common import Work, ship, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    archive = warc.write_archive(table(spark, sf_dir, "pages"), Work(spark, "warc"))
+    return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.default_path()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix,)}
+    return {f.__name__: f for f in (op1_mix, op2_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op2_warc": warc.ORACLE}
