@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, warc
-from .common import Work, ship, table
+from . import bpe, langid, mixing, toxicity, warc
+from .common import Work, held_out, ship, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +21,28 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs, out = table(spark, sf_dir, "documents"), held_out(3, 1)
+    model = toxicity.train(docs.filter(~out), table(spark, sf_dir, "labels").filter(~out), Work(spark, "toxicity"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs, out = table(spark, sf_dir, "documents"), held_out(4, 2)
+    samples = langid.sample(docs.filter(~out), Work(spark, "language"))
+    return langid.predict(docs, samples).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.default_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op9_language, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
