@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, toxicity, warc
+from . import bpe, langid, matroska, mixing, pii, toxicity, urlfilter, warc
 from .common import Work, held_out, ship, table
 
 
@@ -29,6 +29,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return matroska.describe(matroska.store(matroska.to_media(table(spark, sf_dir, "documents")), Work(spark, "media")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, out = table(spark, sf_dir, "documents"), held_out(4, 2)
@@ -42,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op9_language, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op4_urls, op5_pii, op6_matroska, op9_language, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
