@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, langid, matroska, mixing, pii, toxicity, urlfilter, warc
+from . import bpe, chosenpath, hnsw, langid, matroska, mixing, pii, toxicity, urlfilter, warc
 from .common import Work, held_out, ship, table
 
 
@@ -43,6 +43,11 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.store(matroska.to_media(table(spark, sf_dir, "documents")), Work(spark, "media")))
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
@@ -61,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op4_urls, op5_pii, op6_matroska, op8_near, op9_language, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op4_urls, op5_pii, op6_matroska, op7_vectors, op8_near, op9_language, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
