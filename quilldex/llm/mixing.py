@@ -47,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
         (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0))).alias("left"),
         (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("left_w"),
     )
-    level = F.when(F.col("left") * F.col("w") <= F.col("limit") * F.col("left_w"), F.col("left") / F.col("left_w"))
-    return summed.withColumn("level", F.min(level).over(everything)).select(
+    # fixing a source at its limit raises the level of the rest as long as it is above that limit, then lowers it
+    return summed.withColumn("level", F.max(F.col("left") / F.col("left_w")).over(everything)).select(
         "source", "source_size",
         F.least(F.col("limit").cast("double"), F.col("level") * F.col("w")).alias("target"),
     )
@@ -158,7 +158,7 @@ summed AS (
   FROM ranked
   WINDOW before AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levelled AS (
-  SELECT *, min(CASE WHEN rest * w <= 3 * source_size * rest_w THEN rest::DOUBLE / rest_w::DOUBLE END) OVER () AS level FROM summed),
+  SELECT *, max(rest::DOUBLE / rest_w::DOUBLE) OVER () AS level FROM summed),
 targets AS (
   SELECT source, source_size, least((3 * source_size)::DOUBLE, level * w) AS target FROM levelled),
 running AS (
