@@ -19,8 +19,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import Work
 from .components import components
@@ -29,8 +30,8 @@ from .textvec import mix, texts_of, word_hashes
 #: Independent trees; a pair of similarity 0.85 shares none of their first nodes once in a million.
 TREES = 6
 TOKENS = 64
-#: Tokens of a sketch that must agree; a pair of similarity 0.85 has 54 on average, deviation 2.9.
-AGREE = 39
+#: Deviations below the expected number of agreeing tokens at which a pair is no candidate any more.
+DEVIATIONS = 5
 #: Nodes up to this many members and shingles are compared in one task.
 NODE_MEMBERS, NODE_SHINGLES = 4096, 4_000_000
 #: Large nodes branch this often before stars around a pivot join and prune them; and at most.
@@ -133,7 +134,9 @@ def near_by_sketch(sketch: np.ndarray, n: np.ndarray, percent: int) -> np.ndarra
     agree = np.zeros((len(n), len(n)), np.int8)
     for column in sketch.T:
         agree += column[:, None] == column[None, :]
-    return (agree >= AGREE) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    share = percent / 100
+    least = int(TOKENS * share - DEVIATIONS * (TOKENS * share * (1 - share)) ** 0.5)
+    return (agree >= least) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
 
 
 def near_by_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -305,6 +308,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     unless it has no other. No rows give no rows.
     """
     work = Work(docs.sparkSession, "near")
+    rows, named = _classes(docs, work, width, percent)
+    named = named.select(F.col("digest").alias("key"), "component_id")
+    out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("key"), "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, digest, sketch) and classes (digest, component, first, component_id), both written.
+
+    ``component`` numbers the components; ``first`` is the smallest doc_id of the class.
+    """
     rows = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _rows(x, width), "doc_id long, n long, digest binary, sketch binary"), "rows")
     full = rows.filter("digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -321,11 +337,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # of a class alone its first is the component's; only linked classes meet their component's others
     linked = named.join(known.select(F.col("component").alias("of")).distinct(), F.col("component") == F.col("of"), "left_semi")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    named = work.keep(named.join(least, "component", "left").select(F.col("digest").alias("key"), F.coalesce("least", "first").alias("component_id")), "components")
-    out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("key"), "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(least, "component", "left").select("digest", "component", "first", F.coalesce("least", "first").alias("component_id"))
+    return rows, work.keep(named, "components")
+
+
+def _mark(batches: Iterator[pa.RecordBatch], width: int, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = batch.schema.get_field_index("text")
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            sets = shingle_sets(texts_of(part.column(place)), width)
+            yield part.append_column(name, pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, columns as they are.
+
+    It is a row of the class that holds the group's smallest doc_id, and of repeated rows
+    there the first by text. Rows without words are in no group and stay.
+    """
+    work = Work(docs.sparkSession, "keep")
+    rows, named = _classes(docs, work, width, percent)
+    # only classes that lose rows take part in the join: those not kept, and kept ones with copies
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest"))
+    winners = named.groupBy("component").agg(best.alias("w")).select("component", "w.digest")
+    lost = named.join(winners.withColumnRenamed("digest", "winner"), "component").select("digest", "first", (F.col("digest") == F.col("winner")).alias("wins"))
+    copies = rows.filter("digest is not null").join(named.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"))
+    copies = copies.groupBy("digest").agg(F.count("*").alias("copies"), F.count_if(F.col("doc_id").eqNullSafe(F.col("first"))).alias("again"))
+    plan = lost.join(copies, "digest").filter("not wins or copies > 1").select(F.col("digest").alias("of"), "first", "wins", "again")
+    plan = work.keep(plan, "plan")
+    mark = "_set_digest"
+    marked = docs.mapInArrow(lambda x: _mark(x, width, mark), _with(docs, mark))
+    joined = marked.join(plan, F.col(mark) == F.col("of"), "left").filter("of is null or (wins and doc_id <=> first)")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = joined.filter("of is null or again = 1").select(*columns)
+    again = plan.filter("wins and again > 1")
+    if again.isEmpty():
+        return single
+    nth = F.row_number().over(Window.partitionBy(mark).orderBy("text"))
+    return single.unionByName(joined.filter("again > 1").withColumn("_nth", nth).filter("_nth = 1").select(*columns))
+
+
+def _with(docs: DataFrame, name: str) -> StructType:
+    return StructType([*docs.schema.fields, StructField(name, BinaryType())])
 
 
 def _sets_of(docs: DataFrame, family: DataFrame, width: int) -> DataFrame:

@@ -28,8 +28,8 @@ LETTERS = 62
 #: Texts are parsed in chunks of this many characters; a phrase doesn't cross chunks.
 CHUNK = 1024
 SLICE_ROWS = 4000
-#: A text is in none of the languages if even the best one's phrases are this short on average.
-SHORTEST_PHRASE = 2.0
+#: A text of so many characters is in none of the languages if even the best one's phrases are shorter on average.
+LEAST_CHARS, SHORTEST_PHRASE = 40, 2.0
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_chars", pa.float64())])
 PREDICTED = "doc_id long, lang_pred string, score double, phrase_chars double"
 _LOADED: dict[str, Parser] = {}
@@ -201,3 +201,27 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(chars, pa.float64())], schema=_OUT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+
+
+def keep_known(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """The rows of ``docs`` in a learnt language, all columns as they are; a null lang becomes the predicted one.
+
+    Out go texts that are null or have no letter, and texts of LEAST_CHARS characters or more
+    whose phrases are shorter than SHORTEST_PHRASE on average in every language. One map.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = load(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                found = parser.predict(texts)
+                gone = [lang == UND or (chars < SHORTEST_PHRASE and len(t) >= LEAST_CHARS) for (lang, _, chars), t in zip(found, texts, strict=True)]
+                place = part.schema.get_field_index("lang")
+                langs = [p if x is None else x for x, (p, _, _) in zip(part.column(place).to_pylist(), found, strict=True)]
+                part = part.set_column(place, part.schema.field(place), pa.array(langs, pa.string()))
+                yield part.filter(pa.array([not x for x in gone]))
+
+    return docs.mapInArrow(run, docs.schema)

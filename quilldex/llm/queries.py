@@ -65,8 +65,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.default_path()))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op4_urls, op5_pii, op6_matroska, op7_vectors, op8_near, op9_language, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix, op2_warc, op3_toxicity, op4_urls, op5_pii, op6_matroska, op7_vectors, op8_near, op9_language, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
