@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: A worker's cache of words is emptied when it holds this many.
-CACHE_WORDS = 400_000
-SLICE_ROWS = 1000
+CACHE_WORDS = 200_000
+SLICE_ROWS = 500
 FAR = 1 << 30
 NONE = (1 << 17) - 1
 #: Longer words are merged one by one; rows of the matrix for the others.
@@ -341,7 +343,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _round_trip(batches, spec.value), ENCODED)
+    run = trimmed(lambda batches: _round_trip(batches, spec.value))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Work
+from .common import Work, trimmed
 from .components import components
 from .textvec import mix, texts_of, word_hashes
 
@@ -260,7 +260,7 @@ def explore(members: DataFrame, tokens: DataFrame, data: DataFrame, work: Work,
             one = data.select(F.col("id").alias("b"), F.col("data").alias("db"))
             pivot = data.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("data").alias("da"))
             pairs = stars.join(one, "b").join(pivot, "a").select("a", "b", "na", "nb", "da", "db")
-            found.append(work.keep(pairs.mapInArrow(lambda x: _compare_pairs(x, percent, exact), "a long, b long"), "stars"))
+            found.append(work.keep(pairs.mapInArrow(trimmed(lambda x: _compare_pairs(x, percent, exact)), "a long, b long"), "stars"))
             known = components(_all(found), work)
             label = F.coalesce("component", "id")
             large = large.join(known, "id", "left").withColumn("label", label)
@@ -284,7 +284,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def _leaves(members: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
     rows = members.join(data.select("id", "data"), "id").select("node", "id", "n", "data")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(lambda x: _compare_nodes(x, percent, exact), "a long, b long")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(trimmed(lambda x: _compare_nodes(x, percent, exact)), "a long, b long")
 
 
 def _block_pairs(members: DataFrame, exact: bool) -> DataFrame:
@@ -321,7 +321,7 @@ def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[Dat
 
     ``component`` numbers the components; ``first`` is the smallest doc_id of the class.
     """
-    rows = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _rows(x, width), "doc_id long, n long, digest binary, sketch binary"), "rows")
+    rows = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(lambda x: _rows(x, width)), "doc_id long, n long, digest binary, sketch binary"), "rows")
     full = rows.filter("digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = work.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -367,15 +367,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     plan = lost.join(copies, "digest").filter("not wins or copies > 1").select(F.col("digest").alias("of"), "first", "wins", "again")
     plan = work.keep(plan, "plan")
     mark = "_set_digest"
-    marked = docs.mapInArrow(lambda x: _mark(x, width, mark), _with(docs, mark))
-    joined = marked.join(plan, F.col(mark) == F.col("of"), "left").filter("of is null or (wins and doc_id <=> first)")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = joined.filter("of is null or again = 1").select(*columns)
-    again = plan.filter("wins and again > 1")
-    if again.isEmpty():
+    while mark in docs.columns:
+        mark = f"_{mark}"
+    marked = docs.mapInArrow(trimmed(lambda x: _mark(x, width, mark)), _with(docs, mark))
+    # a row's columns travel as one, so that none can clash with the plan's
+    packed = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(mark).alias("digest"))
+    joined = packed.join(plan, F.col("digest") == F.col("of"), "left").filter("of is null or (wins and row.doc_id <=> first)")
+    single = joined.filter("of is null or again = 1").select("row.*")
+    if plan.filter("wins and again > 1").isEmpty():
         return single
-    nth = F.row_number().over(Window.partitionBy(mark).orderBy("text"))
-    return single.unionByName(joined.filter("again > 1").withColumn("_nth", nth).filter("_nth = 1").select(*columns))
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("row.text"))
+    return single.unionByName(joined.filter("again > 1").withColumn("nth", nth).filter("nth = 1").select("row.*"))
 
 
 def _with(docs: DataFrame, name: str) -> StructType:
@@ -388,8 +390,8 @@ def _sets_of(docs: DataFrame, family: DataFrame, width: int) -> DataFrame:
     wanted = None
     if key.count() <= PICK:
         digests = docs.sparkSession.sparkContext.broadcast({bytes(r.digest) for r in key.select("digest").toLocalIterator()})
-        picked = texts.mapInArrow(lambda x: _pick(x, width, digests.value), "digest binary, data binary")
+        picked = texts.mapInArrow(trimmed(lambda x: _pick(x, width, digests.value)), "digest binary, data binary")
     else:
-        picked = texts.mapInArrow(lambda x: _pick(x, width, wanted), "digest binary, data binary")
+        picked = texts.mapInArrow(trimmed(lambda x: _pick(x, width, wanted)), "digest binary, data binary")
     once = picked.join(key, "digest").groupBy("id").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     return once

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quilldex.session import ship as ship  # noqa: PLC0414
+
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,19 +61,20 @@ class Work:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, for clusters where it isn't installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    made = os.path.join(tempfile.mkdtemp(prefix="quilldex-code-"), "quilldex_code.zip")
-    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(made)
-    atexit.register(shutil.rmtree, os.path.dirname(made), True)  # executors fetch it from here
-    _SHIPPED.add(sc.applicationId)
+def trimmed(f):
+    """A map over Arrow batches that gives freed memory back at its end, as its worker lives on."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

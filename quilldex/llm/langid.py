@@ -10,6 +10,7 @@ a batch of texts walk through them in lockstep, one character a step.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work
+from .common import Work, trimmed
 
 UND = "und"
 #: Bounds of the labelled sample: documents of a language, characters of a document, and of a language.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 96, 1500, 60_000
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 96, 1500, 50_000
 #: All automata of a worker together; with many languages each gets fewer characters.
 TABLE_BYTES = 160 << 20
 LETTERS = 62
 #: Texts are parsed in chunks of this many characters; a phrase doesn't cross chunks.
 CHUNK = 1024
-SLICE_ROWS = 4000
+SLICE_ROWS = 2000
 #: A text of so many characters is in none of the languages if even the best one's phrases are shorter on average.
 LEAST_CHARS, SHORTEST_PHRASE = 40, 2.0
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_chars", pa.float64())])
@@ -35,34 +36,37 @@ PREDICTED = "doc_id long, lang_pred string, score double, phrase_chars double"
 _LOADED: dict[str, Parser] = {}
 
 
-def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton that reads every substring of ``text`` from state 0."""
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def suffix_automaton(text: list[int], width: int) -> tuple[array, int]:
+    """(transitions, number of states) of the automaton that reads every substring of ``text`` from state 0.
+
+    Transitions lie in one flat array, ``width`` to a state, -1 for none, so that building
+    leaves no objects behind in a worker that lives on.
+    """
+    nxt = array("i", [-1]) * (width * (2 * len(text) + 2))
+    link, length, last, size = [-1], [0], 0, 1
     for c in text:
-        cur = len(nxt)
-        nxt.append({})
+        cur, size = size, size + 1
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p >= 0 and nxt[p * width + c] < 0:
+            nxt[p * width + c] = cur
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
+            q = nxt[p * width + c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
+                clone, size = size, size + 1
+                nxt[clone * width : (clone + 1) * width] = nxt[q * width : (q + 1) * width]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
+                while p >= 0 and nxt[p * width + c] == q:
+                    nxt[p * width + c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return nxt
+    return nxt, size
 
 
 class Parser:
@@ -84,17 +88,16 @@ class Parser:
         start = 0
         for lang in self.langs:
             classes = self.classes(samples[lang])[0][:most]
-            states = suffix_automaton(classes.tolist())
-            dense = np.full((len(states) + 1, self.width), -1, np.int32)
-            rows = np.repeat(np.arange(len(states)), [len(s) for s in states])
-            dense[rows, [c for s in states for c in s]] = [t for s in states for t in s.values()]
+            flat, states = suffix_automaton(classes.tolist(), self.width)
+            dense = np.full((states + 1, self.width), -1, np.int32)
+            dense[:states] = np.frombuffer(flat, np.int32)[: states * self.width].reshape(states, self.width)
             # a character that the labelled text lacks is a phrase of its own: a last state that nothing leaves
-            dense[0][dense[0] < 0] = len(states)
+            dense[0][dense[0] < 0] = states
             from_root = dense[0] + start
             # a missing transition ends the phrase; what stands there is where the next one leads, inverted
             parts.append(np.where(dense >= 0, dense + start, ~from_root[None, :]).astype(np.int32))
             roots.append(start)
-            start += len(states) + 1
+            start += states + 1
             self.log2.append(np.log2(max(2, len(classes))))
         self.flat = np.concatenate(parts).ravel() if parts else np.empty(0, np.int32)
         self.roots, self.log2 = np.array(roots, np.int32), np.array(self.log2)
@@ -200,7 +203,7 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 langs, scores, chars = zip(*parser.predict(part.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(chars, pa.float64())], schema=_OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), PREDICTED)
 
 
 def keep_known(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -224,4 +227,4 @@ def keep_known(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 part = part.set_column(place, part.schema.field(place), pa.array(langs, pa.string()))
                 yield part.filter(pa.array([not x for x in gone]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

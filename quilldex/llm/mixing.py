@@ -132,14 +132,14 @@ def mix_documents(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5
     shuffled, never texts.
     """
     work = Work(docs.sparkSession, "mixed")
-    sized = docs.withColumns({"size": size_of(F.col("text")), "key": key_of(F.col("doc_id"), seed)})
-    plan = plan_mix(work.keep(sized.select("source", "size", "key"), "sized"), work, weights, most)
+    key = key_of(F.col("doc_id"), seed).alias("key")
+    plan = plan_mix(work.keep(docs.select("source", size_of(F.col("text")).alias("size"), key), "sized"), work, weights, most)
     # the text's words are not counted again: whether a row is in depends on its key alone
-    keyed = docs.withColumn("key", key_of(F.col("doc_id"), seed))
+    # a row's columns travel as one, so that none can clash with the plan's
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", key)
     half = (F.col("key") == F.col("cut_key")) & (F.col("cut_left") * 2 >= F.col("cut_size"))
     times = F.coalesce(F.col("epochs"), F.lit(0)).cast("int") + F.coalesce(((F.col("key") < F.col("cut_key")) | half).cast("int"), F.lit(0))
-    joined = with_plan(keyed, plan).withColumn("times", F.array_repeat(F.lit(0), times))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("times").alias("time")).drop("time")
+    return with_plan(keyed, plan).select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("time")).select("row.*")
 
 
 ORACLE = r"""

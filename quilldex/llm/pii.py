@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work
+from .common import Work, trimmed
 from .textvec import mix, texts_of, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -215,7 +215,7 @@ def slots_of(docs: DataFrame, patterns: DataFrame, work: Work) -> DataFrame:
     out = None
     for wanted in _blocks(patterns, work):
         sent = docs.sparkSession.sparkContext.broadcast(wanted)  # at most 8 MB
-        part = docs.select("text").mapInArrow(lambda b, sent=sent: _count(b, sent.value), "pattern long, slots long")
+        part = docs.select("text").mapInArrow(trimmed(lambda b, sent=sent: _count(b, sent.value)), "pattern long, slots long")
         part = part.filter("slots > 0").groupBy("pattern").agg(F.sum("slots").alias("slots"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -223,7 +223,7 @@ def slots_of(docs: DataFrame, patterns: DataFrame, work: Work) -> DataFrame:
 
 def find(docs: DataFrame, work: Work) -> DataFrame:
     """Base spans and mentions of every row (FOUND's columns), written; rid numbers the rows."""
-    return work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, FOUND), "found")
+    return work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_find), FOUND), "found")
 
 
 def learn(docs: DataFrame, found: DataFrame, work: Work) -> DataFrame:
@@ -333,5 +333,5 @@ def redact(docs: DataFrame) -> DataFrame:
     for part in range(parts):
         rows = confident.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect()
         sent = docs.sparkSession.sparkContext.broadcast((np.array([r.pattern for r in rows], np.int64), np.array([r.k for r in rows], np.int64)))
-        docs = docs.mapInArrow(lambda b, sent=sent: _redact(b, *sent.value), docs.schema)
+        docs = docs.mapInArrow(trimmed(lambda b, sent=sent: _redact(b, *sent.value)), docs.schema)
     return docs
