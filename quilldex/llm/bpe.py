@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import model, trimmed
 
 #: A worker's cache of words is emptied when it holds this many.
 CACHE_WORDS = 200_000
@@ -38,7 +38,6 @@ NONE = (1 << 17) - 1
 MATRIX_SYMBOLS, MATRIX_ROWS = 48, 4096
 ENCODED = "doc_id long, ids binary, decoded string"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-_LOADED: dict[str, WordBpe] = {}
 
 
 @functools.cache
@@ -312,10 +311,7 @@ class WordBpe:
 
 
 def load(spec: str) -> WordBpe:
-    key = hashlib.sha1(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = WordBpe(spec)
-    return _LOADED[key]
+    return model("bpe:" + hashlib.sha1(spec.encode()).hexdigest(), lambda: WordBpe(spec))
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[pa.RecordBatch]:

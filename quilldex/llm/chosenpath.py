@@ -366,6 +366,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     copies = copies.groupBy("digest").agg(F.count("*").alias("copies"), F.count_if(F.col("doc_id").eqNullSafe(F.col("first"))).alias("again"))
     plan = lost.join(copies, "digest").filter("not wins or copies > 1").select(F.col("digest").alias("of"), "first", "wins", "again")
     plan = work.keep(plan, "plan")
+    # up to PICK rows of 33 bytes the plan goes to the texts; beyond, Spark shuffles both
+    plan = F.broadcast(plan) if plan.count() <= PICK else plan
     mark = "_set_digest"
     while mark in docs.columns:
         mark = f"_{mark}"
@@ -395,3 +397,22 @@ def _sets_of(docs: DataFrame, family: DataFrame, width: int) -> DataFrame:
         picked = texts.mapInArrow(trimmed(lambda x: _pick(x, width, wanted)), "digest binary, data binary")
     once = picked.join(key, "digest").groupBy("id").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     return once
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+listed AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM words),
+shingles AS (SELECT DISTINCT doc_id, s FROM listed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least ON a = d.doc_id
+"""

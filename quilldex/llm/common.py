@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilldex.session import ship as ship  # noqa: PLC0414
+from quilldex import session
 
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +61,26 @@ class Work:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of an Arrow batch: texts are long, and batches of Spark's 10,000 take tens of MB each on both sides.
+BATCH_ROWS = 2000
+_MODEL: dict[str, object] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors and makes Arrow batches small, unless their size was set."""
+    session.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def model(key: str, build):
+    """What build() makes, kept in the worker for its next tasks until another model takes its place."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
 def trimmed(f):
     """A map over Arrow batches that gives freed memory back at its end, as its worker lives on."""
 

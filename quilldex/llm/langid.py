@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work, trimmed
+from .common import Work, model, trimmed
 
 UND = "und"
 #: Bounds of the labelled sample: documents of a language, characters of a document, and of a language.
@@ -33,7 +33,6 @@ SLICE_ROWS = 2000
 LEAST_CHARS, SHORTEST_PHRASE = 40, 2.0
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_chars", pa.float64())])
 PREDICTED = "doc_id long, lang_pred string, score double, phrase_chars double"
-_LOADED: dict[str, Parser] = {}
 
 
 def suffix_automaton(text: list[int], width: int) -> tuple[array, int]:
@@ -161,11 +160,7 @@ class Parser:
 
 def load(samples: dict[str, str]) -> Parser:
     """The parser of these samples, built once in each worker."""
-    key = hashlib.sha1(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Parser(samples)
-    return _LOADED[key]
+    return model("langid:" + hashlib.sha1(repr(sorted(samples.items())).encode()).hexdigest(), lambda: Parser(samples))
 
 
 def sample(labelled: DataFrame, work: Work) -> dict[str, str]:

@@ -30,7 +30,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE, "op2_warc": warc.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op2_warc": warc.ORACLE, "op4_urls": urlfilter.oracle(), "op7_vectors": hnsw.ORACLE, "op8_near": chosenpath.ORACLE}

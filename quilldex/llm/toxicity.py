@@ -23,7 +23,7 @@ PREFIX_BYTES = 5
 #: Bounds of the training sample: rows of label 1, rows of label 0, and bytes of a row's text.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 4000, 8000, 40_000
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.5, 5
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.5, 5
 SLICE_ROWS = 500
 _SAMPLE = pa.schema([("label", pa.int32()), ("order", pa.int64()), ("features", pa.binary())])
 _WEIGHTS = pa.schema([("feature", pa.int32()), ("weight", pa.float64())])

@@ -97,3 +97,38 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     by_graph = F.when(distrust - trust >= threshold, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+
+
+def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
+    """The same in SQL, the rounds written out."""
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1] + r[2]}'" for r in ordered) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in ordered) + " END"
+    ranks = "\n".join(
+        f"""r{k} AS (SELECT kind, host, sum(v) AS v FROM (
+  SELECT e.kind, e.host, r.v * e.w * {damping} AS v FROM edges e JOIN r{k - 1} r ON r.kind = e.kind AND r.host = e.sender UNION ALL SELECT * FROM r0) GROUP BY kind, host),"""
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+WITH rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM parsed),
+seeds AS (
+  SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust, avg(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust
+  FROM ruled WHERE host <> '' GROUP BY host),
+found AS (
+  SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s{{0,9}}=\s{{0,9}}["'']?[a-z][a-z0-9+.-]*://([^/?#"''\s>]+)', 1)), '{UPPER}', '{LOWER}') AS dst
+  FROM ruled WHERE host <> ''),
+links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> dst GROUP BY src, dst),
+edges AS (
+  SELECT 0 AS kind, src AS sender, dst AS host, n / sum(n) OVER (PARTITION BY src) AS w FROM links
+  UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
+r0 AS (SELECT 0 AS kind, host, trust AS v FROM seeds WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM seeds WHERE distrust > 0),
+{ranks}
+ranks AS (SELECT host, sum(v) FILTER (kind = 0) AS trust, sum(v) FILTER (kind = 1) AS distrust FROM r{rounds} GROUP BY host)
+SELECT page_id, p.host, path, rule,
+  coalesce(by_rule, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled p LEFT JOIN ranks r ON r.host = p.host
+"""
