@@ -23,6 +23,39 @@ def batch(log: DataFrame, changes: DataFrame) -> DataFrame:
     return log.unionByName(changes)
 
 
+class Batch:
+    """Changes that count all or not at all: read-your-writes until commit() gives the log with them, or rollback()."""
+
+    def __init__(self, log: DataFrame):
+        self._log, self._live = log, compact(log)
+        self._last = log.agg(F.max("seq")).first()[0] or 0
+        self._pending: dict = {}
+
+    def put(self, key, value, expire: int = 0) -> None:
+        self._pending[key] = (value, expire, False)
+
+    def delete(self, key) -> None:
+        self._pending[key] = (None, 0, True)
+
+    def get(self, key):
+        if key in self._pending:
+            return self._pending[key][0]
+        row = get(self._live, key).first()
+        return None if row is None else row["value"]
+
+    def exists(self, key) -> bool:
+        return not self._pending[key][2] if key in self._pending else exists(self._live, key)
+
+    def rollback(self) -> None:
+        self._pending.clear()
+
+    def commit(self) -> DataFrame:
+        rows = [(key, value, self._last + 1 + n, expire, deleted) for n, (key, (value, expire, deleted)) in enumerate(self._pending.items())]
+        self._pending = {}
+        columns = self._log.select("key", "value", "seq", "expire", "deleted")
+        return columns if not rows else columns.unionByName(self._log.sparkSession.createDataFrame(rows, columns.schema))
+
+
 def get(live: DataFrame, key) -> DataFrame:
     return live.filter(F.col("key") == key)
 

@@ -2,7 +2,7 @@
 
 A single search is a filter, one expression and an ordered limit: every task keeps its
 own best rows and only those are shuffled. Searches of many queries multiply matrices in
-Arrow batches and keep each batch's best per query before a window ranks them. Order is
+Arrow batches and keep each task's best per query before a window ranks them. Order is
 always (distance, id); rows without a distance come last.
 """
 
@@ -12,7 +12,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quilldex.functions import quantize as Q
@@ -93,7 +94,7 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, id_column: str,
     """(qid, id, distance, rank): the k nearest rows of each query (qid, vector).
 
     The queries go to every task in blocks of QUERY_BLOCK; the rows are read once a block.
-    Each batch of rows gives its best k per query, the window ranks what is left.
+    Each task gives its best k per query, the window ranks what is left.
     """
     out = None
     for ids, matrix in _query_blocks(queries, query_id, vector):
@@ -108,7 +109,7 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, id_column: str,
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, SLICE_ROWS = 1024, 2048
 
 
 def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,25 +140,39 @@ def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, k: int, metric: str, include_self: bool) -> Iterator[pa.RecordBatch]:
+    """A task's k nearest rows of each query; what it holds meanwhile is k rows a query and one slice of distances."""
+    near = np.full((len(qids), 0), np.inf)
+    who = np.full((len(qids), 0), 0)
     for batch in batches:
-        keep = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-        if not keep:
-            continue
-        batch = batch.take(pa.array(keep))
-        ids = np.array(batch.column(0).to_pylist())
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        d = distances(x, q, metric)
-        if not include_self:
-            d = np.where(qids[:, None] == ids[None, :], np.nan, d)
-        d = np.where(np.isnan(d), np.inf, d)
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(qids)), order.shape[1])
-        cols = order.ravel()
-        near = np.isfinite(d[rows, cols])
-        yield pa.RecordBatch.from_arrays([pa.array(qids[rows[near]]), pa.array(ids[cols[near]]), pa.array(d[rows[near], cols[near]])], names=["qid", "id", "distance"])
-
-
-def recall(found: DataFrame, exact: DataFrame, k: int) -> Column | DataFrame:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            sizes = pc.list_value_length(part.column(1))
+            part = part.filter(pc.fill_null(pc.equal(sizes, q.shape[1]), False))
+            if not part.num_rows:
+                continue
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            d = distances(x, q, metric)
+            if not include_self:
+                d = np.where(qids[:, None] == ids[None, :], np.nan, d)
+            near = np.concatenate([near, np.where(np.isnan(d), np.inf, d)], 1)
+            who = np.concatenate([who, np.broadcast_to(ids, d.shape)], 1)
+            order = np.lexsort((who, near), axis=1)[:, :k]
+            near, who = np.take_along_axis(near, order, 1), np.take_along_axis(who, order, 1)
+    rows, cols = np.nonzero(np.isfinite(near))
+    yield pa.RecordBatch.from_arrays([pa.array(qids[rows], pa.int64()), pa.array(who[rows, cols], pa.int64()), pa.array(near[rows, cols], pa.float64())], names=["qid", "id", "distance"])
+
+
+def merge_results(parts: Sequence[DataFrame], k: int, *, id_column: str, by: str = "score") -> DataFrame:
+    """The best k rows of several results, each id once with its best ``by``; as shards' results are merged."""
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    best = union.groupBy(id_column).agg(F.max_by(F.struct("*"), by).alias("row")).select("row.*")
+    return best.orderBy(F.col(by).desc_nulls_last(), id_column).limit(k)
+
+
+def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """(qid, recall): the share of each query's exact rows (qid, id) that were found."""
     hits = exact.select("qid", "id").join(found.select("qid", "id").distinct(), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
     return exact.select("qid").distinct().join(hits, "qid", "left").select("qid", (F.coalesce("hits", F.lit(0)) / k).alias("recall"))

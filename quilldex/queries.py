@@ -225,6 +225,17 @@ def knn_self_join_graph(spark, sf_dir):
     return found.select("qid", "id", F.round("distance", PLACES).alias("distance"), "rank")
 
 
+@query(
+    f"""WITH c AS ({COLLECTION}), s AS (SELECT vec_id, abs(1 - list_cosine_similarity(v, {QVEC})) AS d FROM c)
+SELECT vec_id, round((2 - d) / 2 * 100, {PLACES}) AS score FROM s ORDER BY d, vec_id LIMIT 10"""
+)
+def merge_shard_results(spark, sf_dir):
+    rows = collection(spark, sf_dir)
+    q = search.vector_of(rows, "vec_id", 0, "embedding")
+    shards = [search.nearest(rows.filter(F.col("vec_id") % 3 >= k), q, 10, id_column="vec_id").select("vec_id", "score") for k in range(3)]
+    return search.merge_results(shards, 10, id_column="vec_id").select("vec_id", F.round("score", PLACES).alias("score"))
+
+
 def halves(spark, sf_dir) -> DataFrame:
     v = V.as_vector("embedding")
     return read(spark, sf_dir, "embeddings").select("vec_id", F.slice(v, 1, 32).alias("a"), F.slice(v, 33, 32).alias("b"))

@@ -71,6 +71,11 @@ class Catalog:
         self.spark, self.store = spark, Store(spark, root)
         self._loaded: dict[str, DataFrame] = {}
 
+    def ping(self) -> bool:
+        """Whether the catalog's folder can be reached."""
+        self.store.names()
+        return True
+
     def list(self) -> list[str]:
         return [n for n in self.store.names() if self.store.exists(f"{n}/spec.json")]
 

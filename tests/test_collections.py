@@ -100,6 +100,20 @@ def test_key_value_log(spark):
     assert keys(kv.ascend(kv.compact(more))) == ["b", "d"]
 
 
+def test_batches_of_a_log(spark):
+    log = spark.createDataFrame([("a", "1", 1, 0, False), ("b", "2", 2, 0, False)], "key string, value string, seq long, expire long, deleted boolean")
+    b = kv.Batch(log)
+    b.put("c", "3")
+    b.delete("a")
+    b.put("b", "4")
+    assert (b.get("c"), b.get("a"), b.get("b"), b.get("z")) == ("3", None, "4", None)
+    assert b.exists("b") and not b.exists("a") and not b.exists("z")
+    assert {r.key: r.value for r in kv.compact(b.commit()).collect()} == {"b": "4", "c": "3"}
+    b.put("x", "1")
+    b.rollback()
+    assert b.commit().count() == 2
+
+
 def test_deletes_ignore_missing_values(spark):
     rows = spark.createDataFrame([(1, None), (2, 5), (3, 6)], "id long, size long")
     assert sorted(r.id for r in dml.delete_where(rows, {"size": 5}).collect()) == [1, 3]
