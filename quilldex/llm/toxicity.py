@@ -77,7 +77,7 @@ class Ftrl:
 def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Features and weights that are not zero, from (label, distinct features) in order."""
     model = Ftrl(1 << BITS)
-    rows = [(y, np.append(f, 1 << BITS)) for y, f in rows]
+    rows = [(y, np.append(f, np.int32(1 << BITS))) for y, f in rows]
     for _ in range(EPOCHS):
         for label, at in rows:
             model.learn(at, label)
