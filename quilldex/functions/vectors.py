@@ -27,6 +27,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def element(a: Column, k: int) -> Column:
+    """One element in double precision; no copy of the array is made for it."""
+    return F.get(a, F.lit(k)).cast("double")
+
+
 def _terms(terms: list[Column]) -> Column:
     """A balanced tree of additions: depth grows with the logarithm of the dimension."""
     while len(terms) > 1:
@@ -38,8 +43,8 @@ def _paired(a: Column, b: Column | Sequence[float], f: Callable[[Column, Column]
     if isinstance(b, Column):
         return total(F.zip_with(a, b, f))
     if len(b) > WRITTEN_OUT:
-        return total(F.zip_with(a, F.array(*[F.lit(float(x)) for x in b]), f))
-    return _terms([f(F.get(a, F.lit(k)), F.lit(float(x))) for k, x in enumerate(b)])
+        return total(F.zip_with(as_vector(a), F.array(*[F.lit(float(x)) for x in b]), f))
+    return _terms([f(element(a, k), F.lit(float(x))) for k, x in enumerate(b)])
 
 
 def dot(a: Column, b: Column | Sequence[float]) -> Column:
@@ -49,8 +54,8 @@ def dot(a: Column, b: Column | Sequence[float]) -> Column:
 def length(a: Column, dim: int | None = None) -> Column:
     """Euclidean length; with the dimension known, written out."""
     if dim is None or dim > WRITTEN_OUT:
-        return F.sqrt(total(F.transform(a, lambda x: x * x)))
-    return F.sqrt(_terms([F.get(a, F.lit(k)) * F.get(a, F.lit(k)) for k in range(dim)]))
+        return F.sqrt(total(F.transform(as_vector(a), lambda x: x * x)))
+    return F.sqrt(_terms([element(a, k) * element(a, k) for k in range(dim)]))
 
 
 def squared_l2(a: Column, b: Column | Sequence[float]) -> Column:
@@ -179,7 +184,7 @@ def sign_bits(v: Column, dim: int) -> Column:
     """Binary quantization: words of up to 62 bits, one bit for each element above 0."""
     words = []
     for low in range(0, dim, 62):
-        bits = [F.when(F.get(v, F.lit(k)) > 0, F.lit(1 << (k - low)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(low, min(dim, low + 62))]
+        bits = [F.when(element(v, k) > 0, F.lit(1 << (k - low)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(low, min(dim, low + 62))]
         words.append(_terms(bits))
     return F.array(*words)
 

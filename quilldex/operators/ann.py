@@ -1,4 +1,4 @@
-"""Approximate search: cells around centroids, sign hashes, and navigable small-world graphs per shard.
+"""Approximate search: cells around centroids, sign hashes, product codes, and navigable small-world graphs per shard.
 
 Indexes are immutable tables made from a snapshot. Cells and hashes turn a search into a
 filter on a column, which prunes partitions; graphs are adjacency tables that each task
@@ -86,6 +86,71 @@ def _sign_hashes(batches: Iterator[pa.RecordBatch], planes: np.ndarray) -> Itera
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "buckets"])
 
 
+class ProductIndex:
+    """Product quantization: every slice of a vector becomes the number of its nearest centroid.
+
+    Centroids are fitted on at most FIT_SAMPLE rows, all rows are encoded. A search looks
+    up distances between the query's slices and the centroids and sums them for each row;
+    ``refine`` ranks that many of the best by exact distance.
+    """
+
+    FIT_SAMPLE, ROUNDS = 20_000, 15
+
+    def __init__(self, rows: DataFrame, dim: int, *, parts: int = 8, centroids: int = 64, vector: str = "embedding", metric: str = "cosine", seed: int = 1):
+        if dim % parts or not 1 <= centroids <= 256:
+            raise ValueError("parts must divide the dimension, and there are 1 to 256 centroids")
+        self.vector, self.metric = vector, metric
+        ready = rows.filter(F.size(vector) == dim)
+        n = ready.count()
+        taken = ready if n <= self.FIT_SAMPLE else ready.sample(self.FIT_SAMPLE / n, seed)
+        x = np.array([r.v for r in taken.select(V.as_vector(vector).alias("v")).limit(self.FIT_SAMPLE).collect()], float).reshape(-1, parts, dim // parts)
+        self.books = np.stack([self._fit(self._scaled(x)[:, k], centroids, seed + k) for k in range(parts)])
+        schema = T.StructType([*rows.schema.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
+        books, scaled = self.books, self._scaled
+        self.rows = ready.withColumn("_v", V.as_vector(vector)).mapInArrow(lambda b: _encode(b, books, scaled), schema)
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        """Cosine ranks as the distance of vectors at length 1 does."""
+        if self.metric != "cosine":
+            return x
+        norm = np.sqrt((x * x).sum((1, 2), keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    @classmethod
+    def _fit(cls, x: np.ndarray, k: int, seed: int) -> np.ndarray:
+        centre = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+        for _ in range(cls.ROUNDS):
+            near = _nearest_centroid(x, centre)
+            count = np.bincount(near, minlength=len(centre))
+            total = np.zeros_like(centre)
+            np.add.at(total, near, x)
+            centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
+        return centre
+
+    def search(self, query: Sequence[float], k: int, *, id_column: str, refine: int = 0) -> DataFrame:
+        parts, _, width = self.books.shape
+        q = self._scaled(np.array(query, float).reshape(1, parts, width))[0]
+        tables = ((self.books - q[:, None, :]) ** 2).sum(2)
+        terms = [F.get(F.array(*[F.lit(float(d)) for d in table]), F.get("codes", F.lit(p))) for p, table in enumerate(tables)]
+        found = self.rows.withColumn("estimate", sum(terms[1:], terms[0])).orderBy("estimate", id_column)
+        if not refine:
+            return found.limit(k)
+        return nearest(found.limit(max(refine, k)), query, k, id_column=id_column, vector=self.vector, metric=self.metric)
+
+
+def _nearest_centroid(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return ((centre * centre).sum(1)[None, :] - 2 * x @ centre.T).argmin(1)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], books: np.ndarray, scaled) -> Iterator[pa.RecordBatch]:
+    parts, _, width = books.shape
+    for batch in batches:
+        x = scaled(batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, parts, width))
+        codes = np.stack([_nearest_centroid(x[:, p], books[p]) for p in range(parts)], 1).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, parts), pa.int32()), pa.array(codes.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "codes"])
+
+
 class SmallWorld:
     """A hierarchical graph in memory: insert, remove, get and search."""
 

@@ -36,7 +36,7 @@ def check_dimension(query: Sequence[float], dim: int) -> None:
 
 def with_distance(rows: DataFrame, query: Sequence[float], vector: str = "embedding", metric: str = "cosine", codec: str = "none") -> DataFrame:
     """Adds ``distance``. With a codec both sides are compared as stored."""
-    stored = Q.quantize(V.as_vector(vector), codec)
+    stored = F.col(vector) if codec == "none" else Q.quantize(V.as_vector(vector), codec)
     return rows.withColumn("distance", V.metric_by_name(metric)(stored, [Q.round_value(float(x), codec) for x in query]))
 
 
@@ -86,7 +86,7 @@ def multi_vector(rows: DataFrame, parts: Sequence[dict], k: int, *, id_column: s
             raise ValueError(f"not a defined vector: {p['name']}")
     if sum(p["ratio"] for p in used) != 100:
         raise ValueError("the ratios of the included vectors must sum to 100")
-    scores = [(V.compare(V.as_vector(p["name"]), p["vector"], metric), p["ratio"]) for p in used]
+    scores = [(V.compare(F.col(p["name"]), p["vector"], metric), p["ratio"]) for p in used]
     return rows.withColumn("score", V.weighted(scores)).orderBy(F.col("score").desc_nulls_last(), id_column).limit(k)
 
 

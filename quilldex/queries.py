@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,10 @@ from quilldex.functions import scalars as S
 from quilldex.functions import vectors as V
 from quilldex.operators import ann, dml, kv, postings, search
 from quilldex.plans.filters import compile_filter, text_filter
-from quilldex.session import ship
+from quilldex.session import shared_dir, ship
+from quilldex.sources.catalog import Catalog
+from quilldex.streaming import feed
+from quilldex.types import CollectionSpec, IndexSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,14 +203,14 @@ def multivector_excluded(spark, sf_dir):
 
 @query(
     f"""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-d AS (SELECT q.vec_id AS qid, c.vec_id AS id, abs(1 - list_cosine_similarity(c.v, q.v)) AS d FROM c, c AS q WHERE q.vec_id < 50),
+d AS (SELECT q.vec_id AS qid, c.vec_id AS id, abs(1 - list_cosine_similarity(c.v, q.v)) AS d FROM c, c AS q WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM d)
 SELECT qid, id, round(d, {PLACES}) AS distance, rank::INT AS rank FROM r WHERE rank <= 10 AND id <> qid"""
 )
 def batch_knn_per_query(spark, sf_dir):
     ship(spark)
     rows = read(spark, sf_dir, "embeddings")
-    queries = rows.filter("vec_id < 50").select(F.col("vec_id").alias("qid"), "embedding")
+    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     found = search.nearest_many(rows, queries, 10, id_column="vec_id").filter("id <> qid")
     return found.select("qid", "id", F.round("distance", PLACES).alias("distance"), "rank")
 
@@ -365,12 +369,12 @@ def upsert_last_write_wins(spark, sf_dir):
 
 
 @query(
-    """WITH ch AS (SELECT c_custkey + 10 AS c_custkey, 'changed' AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0)
+    """WITH ch AS (SELECT c_custkey + 10 AS c_custkey, 'changed' AS c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ch) UNION ALL SELECT c_custkey, c_mktsegment FROM ch"""
 )
 def update_or_insert(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return dml.upsert(rows, rows.filter("c_custkey % 3 = 0").select((F.col("c_custkey") + 10).alias("c_custkey"), F.lit("changed").alias("c_mktsegment")), "c_custkey")
+    return dml.upsert(rows, rows.filter("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 10).alias("c_custkey"), F.lit("changed").alias("c_mktsegment")), "c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT (p_size = 7 AND p_brand = 'Brand#12')")
@@ -462,6 +466,40 @@ def scalar_math(spark, sf_dir):
     )
 
 
+@query("SELECT vec_id::VARCHAR AS name, CASE WHEN label = 3 THEN 99 ELSE label END::BIGINT AS type, vec_id % 2 = 0 AS expand FROM embeddings WHERE label <> 5")
+def collection_round_trip(spark, sf_dir):
+    """Create, load, insert, upsert by key, delete by condition, release and load again."""
+    rows = collection(spark, sf_dir).select(F.col("vec_id").cast("string").alias("name"), "type", "expand", F.col("embedding").alias("vector"))
+    catalog = Catalog(spark, f"{shared_dir(spark)}/collections-{uuid.uuid4().hex}")
+    columns = (IndexSpec("name", "string", primary_key=True), IndexSpec("type", "integer"), IndexSpec("expand", "boolean", enable_null=True))
+    catalog.create(CollectionSpec("things", 64, columns))
+    catalog.load("things")
+    catalog.upsert("things", rows)
+    catalog.upsert("things", rows.filter("type = 3").withColumn("type", F.lit(99.0)))
+    catalog.delete_where("things", {"type": 5.0})
+    catalog.release("things")
+    return catalog.read("things").select("name", "type", "expand")
+
+
+@query(
+    """WITH last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT user_id::VARCHAR AS name, event_id AS size FROM last WHERE k = 1 AND event_id % 11 <> 0"""
+)
+def change_feed(spark, sf_dir):
+    """Changes written to a folder, read as a stream and applied to a collection."""
+    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    catalog = Catalog(spark, f"{root}/collections")
+    catalog.create(CollectionSpec("users", 2, (IndexSpec("name", "string", primary_key=True), IndexSpec("size", "integer")), distance="euclidean"))
+    catalog.load("users")
+    events = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("size"), F.array(F.col("value").cast("float"), F.lit(1.0).cast("float")).alias("vector"),
+        F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "delete").otherwise("upsert").alias(feed.OP),
+    )
+    events.write.parquet(f"{root}/changes")
+    feed.apply_changes(catalog, "users", feed.watch(spark, f"{root}/changes", events.schema), f"{root}/checkpoint", "seq").awaitTermination()
+    return catalog.read("users").select("name", "size")
+
+
 @query()
 def ann_cells(spark, sf_dir):
     rows = collection(spark, sf_dir)
@@ -471,17 +509,17 @@ def ann_cells(spark, sf_dir):
 
 @query()
 def ann_cells_recall(spark, sf_dir):
+    ship(spark)
     rows = collection(spark, sf_dir)
     index = ann.CellIndex(rows, 16)
     index.rows.persist()
-    out = None
-    for qid in range(5):
-        q = search.vector_of(rows, "vec_id", qid, "embedding")
-        exact = search.nearest(rows, q, 10, id_column="vec_id").select(F.lit(qid).alias("qid"), F.col("vec_id").alias("id"))
-        found = index.search(q, 10, 12, id_column="vec_id").select(F.lit(qid).alias("qid"), F.col("vec_id").alias("id"))
-        part = search.recall(found, exact, 10)
-        out = part if out is None else out.unionByName(part)
-    return out
+    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    exact = search.nearest_many(rows, queries, 10, id_column="vec_id").select("qid", "id")
+    found = None
+    for r in queries.orderBy("qid").toLocalIterator():
+        part = index.search([float(x) for x in r.embedding], 10, 12, id_column="vec_id").select(F.lit(r.qid).alias("qid"), F.col("vec_id").alias("id"))
+        found = part if found is None else found.unionByName(part)
+    return search.recall(found, exact, 10)
 
 
 @query()
@@ -492,6 +530,14 @@ def ann_sign_hash(spark, sf_dir):
     return shown(ann.SignHashIndex(rows, len(q), tables=8, bits=6).search(q, 10, id_column="vec_id"))
 
 
+@query()
+def ann_product(spark, sf_dir):
+    ship(spark)
+    rows = collection(spark, sf_dir)
+    q = search.vector_of(rows, "vec_id", 0, "embedding")
+    return shown(ann.ProductIndex(rows, len(q), parts=8, centroids=32).search(q, 10, id_column="vec_id", refine=100))
+
+
 @query()
 def ann_graph(spark, sf_dir):
     ship(spark)

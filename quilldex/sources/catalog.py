@@ -139,8 +139,9 @@ class Catalog:
             self._loaded.pop(name).unpersist()
 
     def flush(self, name: str) -> int:
-        """Writes the loaded rows as a new snapshot and returns its number."""
-        return self._snapshot(self.spec(name), self.rows(name))
+        """Writes the loaded rows as a new snapshot, reads from it from now on, and returns its number."""
+        self._replace(name, self.rows(name))
+        return self.current(name)
 
     def flush_all(self) -> None:
         for name in [*self._loaded]:

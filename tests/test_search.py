@@ -86,6 +86,17 @@ def test_cells_and_hashes_find_most(rows, matrix, spark, tmp_path):
     assert len(want & {r.id for r in ann.SignHashIndex(rows, 16, tables=12, bits=4).search(q, 10, id_column="id").collect()}) >= 7
 
 
+def test_product_codes(rows, matrix):
+    index = ann.ProductIndex(rows, 16, parts=4, centroids=32)
+    hits = 0
+    for k in range(4):
+        q = search.vector_of(rows, "id", k, "embedding")
+        hits += len(set(exact(matrix, q, 10)) & {r.id for r in index.search(q, 10, id_column="id", refine=60).collect()})
+    assert hits >= 36
+    with pytest.raises(ValueError):
+        ann.ProductIndex(rows, 16, parts=3)
+
+
 def test_graphs(rows, matrix):
     graphs = ann.build_graphs(rows.filter("id <> 1001"), id_column="id", shard_rows=200, m=8, ef_construction=48).cache()
     hits = 0
