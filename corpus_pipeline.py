@@ -59,8 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Work(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage leaves in the shared folder goes once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        known = [*Work.open]
+        result = stage(spark, docs, sf_dir)
+        work = Work(spark, f"pipeline-{name}")
+        docs = work.keep(result, name)
+        for old in [w for w in Work.open if w not in known and w is not work] + ([before] if before else []):
+            old.close()
+        before = work
     return docs

@@ -5,9 +5,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +18,6 @@ from quilldex import session
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir.
-
-    Only where it is unset (tests on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        local = tempfile.mkdtemp(prefix="quilldex-shared-")
-        atexit.register(shutil.rmtree, local, True)
-        spark.sparkContext.setCheckpointDir(local)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 class Work:
     """Tables of one run of an operator, each in a folder of its own below the shared one.
 
@@ -40,10 +25,14 @@ class Work:
     stage that runs, and no table is computed twice.
     """
 
+    #: Runs whose tables are still there.
+    open: ClassVar[list[Work]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{session.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Work.open.append(self)
 
     def keep(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
         self._n += 1
@@ -51,14 +40,23 @@ class Work:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes the files of a table that keep() made, once nothing reads it any more."""
+    def close(self) -> None:
+        """Removes the tables, once nothing reads them any more."""
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if folder.split(":", 1)[-1].lstrip("/").startswith(self.root.split(":", 1)[-1].lstrip("/")):
-                path.getFileSystem(conf).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        if self in Work.open:
+            Work.open.remove(self)
+
+
+@atexit.register
+def _close_all() -> None:
+    """Working tables don't outlive the program, as far as its JVM is still there."""
+    for work in [*Work.open]:
+        try:
+            work.close()
+        except Exception:  # the JVM may be gone; the folder is the cluster's to clean then
+            return
 
 
 #: Rows of an Arrow batch: texts are long, and batches of Spark's 10,000 take tens of MB each on both sides.

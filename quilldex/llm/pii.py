@@ -207,7 +207,9 @@ def _blocks(patterns: DataFrame, work: Work) -> Iterator[np.ndarray]:
     parts = max(1, -(-n // (BLOCK_PATTERNS // 2)))
     for k in range(parts):
         block = patterns if parts == 1 else patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k)
-        yield np.sort(np.array([r.pattern for r in block.select("pattern").distinct().collect()], np.int64))
+        found = np.sort(np.array([r.pattern for r in block.select("pattern").distinct().collect()], np.int64))
+        if len(found):
+            yield found
 
 
 def slots_of(docs: DataFrame, patterns: DataFrame, work: Work) -> DataFrame:

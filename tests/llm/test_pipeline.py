@@ -23,3 +23,21 @@ def test_empty_documents(spark, no_docs):
     for _, stage in P.STAGES:
         rows = stage(spark, rows, None)
     assert rows.count() == 0
+
+
+def test_run_leaves_only_its_result(spark, docs, tmp_path):
+    docs.limit(30).write.parquet(f"{tmp_path}/documents.parquet")
+    before = len(Work.open)
+    assert P.run(spark, str(tmp_path)).count() > 0
+    assert len(Work.open) == before + 1
+
+
+def test_working_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    work = Work(spark, "t")
+    kept = work.keep(spark.range(5), "five")
+    folder = Path(work.root.removeprefix("file:"))
+    assert kept.count() == 5 and folder.exists()
+    work.close()
+    assert not folder.exists() and work not in Work.open
