@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import model, trimmed
 
-#: A worker's cache of words is emptied when it holds this many.
-CACHE_WORDS = 200_000
+#: A worker's cache of words is thinned out when it holds this many.
+CACHE_WORDS = 300_000
 SLICE_ROWS = 500
 FAR = 1 << 30
 NONE = (1 << 17) - 1
@@ -83,6 +83,7 @@ class WordBpe:
         self.made[[r for r, _ in self.ranks.values()]] = [m for _, m in self.ranks.values()]
         self._spines()
         self.words: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.pairs, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
         self.symbols = byte_symbols()
         self.exact = self.speculated = 0
@@ -298,8 +299,11 @@ class WordBpe:
                     pieces.append((words, b""))
             split.append(pieces)
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            # words that came again stay, unless they alone are as many
+            again = self.again if len(self.again) <= CACHE_WORDS // 2 else ()
+            self.words, self.again = {w: self.words[w] for w in again}, set()
         new = [w for w in wanted if w not in self.words]
+        self.again.update(wanted.difference(new))
         if new:
             self.learn(new, [self.to_symbols(w) for w in new])
         get = self.words.__getitem__
