@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def duck():
 
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: "NULL" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: "NULL" if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
