@@ -3,6 +3,9 @@
 Indexes are immutable tables made from a snapshot. Cells and hashes turn a search into a
 filter on a column, which prunes partitions; graphs are adjacency tables that each task
 walks for its own shards. What an index finds is ranked by exact distances.
+
+How much a search reads isn't fixed: an index compares itself with exhaustive search on a
+sample of its rows, and reads as much as finds AUDIT_RECALL of their neighbours.
 """
 
 from __future__ import annotations
@@ -21,12 +24,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quilldex.functions import vectors as V
-from quilldex.operators.search import distances, nearest
+from quilldex.operators.search import distances, nearest, nearest_many
 from quilldex.types import GRAPH_DEFAULTS
 
 #: Rows that centroids are fitted on at most; all rows are indexed.
 FIT_ROWS = 200_000
 
+#: Rows whose neighbours an index looks up to set how much a search reads, and the share of them that it must find.
+AUDIT_QUERIES, AUDIT_RECALL = 256, 0.97
+
+
+def _audit(rows: DataFrame, column: str, k: int, *, id_column: str, vector: str, metric: str) -> list[tuple[np.ndarray, list[tuple]]]:
+    """For a sample of rows the vector, and (id, ``column``) of the k nearest other rows."""
+    sample = rows.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_column), id_column).limit(AUDIT_QUERIES)
+    queries = {r.qid: np.array(r.v, float) for r in sample.select(F.col(id_column).cast("long").alias("qid"), V.as_vector(vector).alias("v")).collect()}
+    if not queries:
+        return []
+    asked = rows.sparkSession.createDataFrame([(i, v.tolist()) for i, v in queries.items()], f"qid long, {vector} array<double>")
+    exact = nearest_many(rows, asked, k, id_column=id_column, vector=vector, metric=metric, include_self=False).select("qid", F.col("id").alias("_id"))
+    near = rows.select(F.col(id_column).cast("long").alias("_id"), F.col(column).alias("_value")).join(F.broadcast(exact), "_id").collect()
+    found: dict[int, list[tuple]] = {}
+    for r in near:
+        found.setdefault(r.qid, []).append((r._id, r._value))
+    return [(queries[i], values) for i, values in sorted(found.items())]
+
+
+def _enough(ranks: Sequence[int]) -> int:
+    """How many first places hold AUDIT_RECALL of the neighbours at these ranks."""
+    return int(np.sort(ranks)[math.ceil(AUDIT_RECALL * len(ranks)) - 1]) + 1 if len(ranks) else 1
+
 
 class CellIndex:
     """Vectors dealt to cells of nearest centroids; a search reads the cells nearest to the query."""
@@ -58,22 +84,86 @@ class CellIndex:
 
 
 class SignHashIndex:
-    """Tables of buckets by the signs of random projections; a search reads the query's bucket of each table."""
+    """Tables of buckets by the signs of random projections; a search reads, of each table, the buckets nearest to the query.
+
+    A bucket is the farther, the more has to be crossed: its cost is the sum of squares of the
+    query's projections whose signs differ. Unless told, a search probes what the audit asks for;
+    it goes on to farther buckets where those have fewer than k rows.
+    """
 
     def __init__(self, rows: DataFrame, dim: int, *, tables: int = 8, bits: int = 8, vector: str = "embedding", seed: int = 1):
+        if not 1 <= bits <= 16:
+            raise ValueError("a table has 1 to 16 bits")
         self.vector = vector
         self.planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
         ready = rows.filter(F.size(vector) == dim).withColumn("_v", V.as_vector(vector))
         schema = T.StructType([*rows.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType()))])
         self.rows = ready.mapInArrow(lambda batches, planes=self.planes: _sign_hashes(batches, planes), schema)
-
-    def search(self, query: Sequence[float], k: int, *, id_column: str) -> DataFrame:
-        q = np.array(query, float)
+        self._probes: dict[int, int] = {}
+        self._sizes: np.ndarray | None = None
+
+    def sizes(self) -> np.ndarray:
+        """Rows of each table's buckets."""
+        if self._sizes is None:
+            tables, bits, _ = self.planes.shape
+            self._sizes = np.zeros((tables, 1 << bits), np.int64)
+            for t, bucket, n in self.rows.select(F.posexplode("buckets")).groupBy("pos", "col").count().collect():
+                self._sizes[t, bucket] = n
+        return self._sizes
+
+    def order(self, query: Sequence[float]) -> np.ndarray:
+        """For each table all buckets, the nearest first."""
+        m = self.planes @ np.array(query, float)
+        bits = np.arange(1 << m.shape[1])[:, None] >> np.arange(m.shape[1]) & 1
+        return np.stack([np.argsort(((bits != (one > 0)) * one**2).sum(1), kind="stable") for one in m])
+
+    def probes(self, k: int, id_column: str) -> int:
+        """Buckets a table that searches of k neighbours have to read."""
+        if k not in self._probes:
+            ranks = []
+            for q, near in _audit(self.rows, "buckets", k, id_column=id_column, vector=self.vector, metric="cosine"):
+                rank = np.argsort(self.order(q), 1)
+                ranks += [rank[np.arange(len(rank)), buckets].min() for _, buckets in near]
+            self._probes[k] = _enough(ranks)
+        return self._probes[k]
+
+    def probed(self, query: Sequence[float], k: int, probes: int) -> np.ndarray:
+        """The buckets of each table that a search reads."""
+        order = self.order(query)
+        short = (np.take_along_axis(self.sizes(), order, 1).cumsum(1) < k).sum(1).min()
+        return order[:, : max(probes, short + 1)]
+
+    def search(self, query: Sequence[float], k: int, *, id_column: str, probes: int | None = None) -> DataFrame:
         hit = F.lit(False)
-        for t, planes in enumerate(self.planes):
-            hit = hit | (F.get("buckets", F.lit(t)) == int(((planes @ q > 0) << np.arange(len(planes))).sum()))
+        for t, buckets in enumerate(self.probed(query, k, probes or self.probes(k, id_column))):
+            hit = hit | F.get("buckets", F.lit(t)).isin(buckets.tolist())
         return nearest(self.rows.filter(hit), query, k, id_column=id_column, vector=self.vector)
 
+    def search_many(self, queries: DataFrame, k: int, *, id_column: str, probes: int | None = None) -> DataFrame:
+        """(qid, id, distance, rank) of many queries (qid, vector)."""
+        probes = probes or self.probes(k, id_column)
+
+        def among(q: np.ndarray):
+            tables, bits, _ = self.planes.shape
+            read = np.zeros((tables, len(q), 1 << bits), bool)
+            for i, one in enumerate(q):
+                np.put_along_axis(read[:, i], self.probed(one, k, probes), True, 1)
+            return _BucketsRead(read)
+
+        return nearest_many(self.rows, queries, k, id_column=id_column, vector=self.vector, column="buckets", among=among)
+
+
+class _BucketsRead:
+    def __init__(self, read: np.ndarray):
+        self.read = read
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        buckets = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        out = self.read[0][:, buckets[:, 0]]
+        for t in range(1, len(self.read)):
+            out |= self.read[t][:, buckets[:, t]]
+        return out
+
 
 def _sign_hashes(batches: Iterator[pa.RecordBatch], planes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Replaces the last column, the vectors, by their bucket in every table: one matrix product a batch."""

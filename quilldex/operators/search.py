@@ -8,7 +8,7 @@ always (distance, id); rows without a distance come last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -90,18 +90,18 @@ def multi_vector(rows: DataFrame, parts: Sequence[dict], k: int, *, id_column: s
     return rows.withColumn("score", V.weighted(scores)).orderBy(F.col("score").desc_nulls_last(), id_column).limit(k)
 
 
-def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, id_column: str, vector: str = "embedding", metric: str = "cosine", query_id: str = "qid", include_self: bool = True) -> DataFrame:
+def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, id_column: str, vector: str = "embedding", metric: str = "cosine", query_id: str = "qid", include_self: bool = True, column: str | None = None, among: Callable | None = None) -> DataFrame:
     """(qid, id, distance, rank): the k nearest rows of each query (qid, vector).
 
     The queries go to every task in blocks of QUERY_BLOCK; the rows are read once a block.
-    Each task gives its best k per query, the window ranks what is left.
+    Each task gives its best k per query, the window ranks what is left. With an index,
+    ``among`` makes of a block's queries a function that tells by ``column``, for queries x rows, what is looked at.
     """
+    read = [F.col(id_column).cast("long").alias("id"), V.as_vector(vector).alias("v"), *([F.col(column)] if column else [])]
     out = None
     for ids, matrix in _query_blocks(queries, query_id, vector):
-        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
-        part = rows.select(F.col(id_column).cast("long").alias("id"), V.as_vector(vector).alias("v")).mapInArrow(
-            lambda b, sent=sent: _best(b, *sent.value, k, metric, include_self), "qid long, id long, distance double"
-        )
+        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, among(matrix) if among else None))
+        part = rows.select(*read).mapInArrow(lambda b, sent=sent: _best(b, *sent.value, k, metric, include_self), "qid long, id long, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.sparkSession.createDataFrame([], "qid long, id long, distance double")
@@ -139,7 +139,7 @@ def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return squared if metric == "squared_l2" else np.sqrt(squared)
 
 
-def _best(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, k: int, metric: str, include_self: bool) -> Iterator[pa.RecordBatch]:
+def _best(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, looked_at: Callable | None, k: int, metric: str, include_self: bool) -> Iterator[pa.RecordBatch]:
     """A task's k nearest rows of each query; what it holds meanwhile is k rows a query and one slice of distances."""
     near = np.full((len(qids), 0), np.inf)
     who = np.full((len(qids), 0), 0)
@@ -155,6 +155,8 @@ def _best(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, k:
             d = distances(x, q, metric)
             if not include_self:
                 d = np.where(qids[:, None] == ids[None, :], np.nan, d)
+            if looked_at:
+                d = np.where(looked_at(part.column(2)), d, np.nan)
             near = np.concatenate([near, np.where(np.isnan(d), np.inf, d)], 1)
             who = np.concatenate([who, np.broadcast_to(ids, d.shape)], 1)
             order = np.lexsort((who, near), axis=1)[:, :k]

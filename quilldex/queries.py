@@ -500,6 +500,27 @@ def change_feed(spark, sf_dir):
     return catalog.read("users").select("name", "size")
 
 
+def every_hundredth(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The collection and the queries of the approximate searches."""
+    ship(spark)
+    rows = collection(spark, sf_dir)
+    return rows, rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    return found.select("qid", "id", F.round("distance", PLACES).alias("distance"), "rank")
+
+
+def recall_of(search_all: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """Recall of the registered search itself, for each of its queries."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, queries = every_hundredth(spark, sf_dir)
+        return search.recall(search_all(spark, sf_dir), search.nearest_many(rows, queries, 10, id_column="vec_id"), 10)
+
+    return run
+
+
 @query()
 def ann_cells(spark, sf_dir):
     rows = collection(spark, sf_dir)
@@ -524,10 +545,12 @@ def ann_cells_recall(spark, sf_dir):
 
 @query()
 def ann_sign_hash(spark, sf_dir):
-    ship(spark)
-    rows = collection(spark, sf_dir)
-    q = search.vector_of(rows, "vec_id", 0, "embedding")
-    return shown(ann.SignHashIndex(rows, len(q), tables=8, bits=6).search(q, 10, id_column="vec_id"))
+    rows, queries = every_hundredth(spark, sf_dir)
+    dim = len(search.vector_of(rows, "vec_id", 0, "embedding"))
+    return ranked(ann.SignHashIndex(rows, dim, tables=8, bits=6).search_many(queries, 10, id_column="vec_id"))
+
+
+query(name="ann_sign_hash_recall")(recall_of(ann_sign_hash))
 
 
 @query()
