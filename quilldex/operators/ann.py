@@ -19,12 +19,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quilldex.functions import vectors as V
-from quilldex.operators.search import distances, nearest, nearest_many
+from quilldex.operators.search import SLICE_ROWS, distances, nearest, nearest_many
 from quilldex.types import GRAPH_DEFAULTS
 
 #: Rows that centroids are fitted on at most; all rows are indexed.
@@ -158,7 +158,7 @@ class _BucketsRead:
         self.read = read
 
     def __call__(self, column: pa.Array) -> np.ndarray:
-        buckets = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        buckets = _codes(column)
         out = self.read[0][:, buckets[:, 0]]
         for t in range(1, len(self.read)):
             out |= self.read[t][:, buckets[:, t]]
@@ -181,10 +181,11 @@ class ProductIndex:
 
     Centroids are fitted on at most FIT_SAMPLE rows, all rows are encoded. A search looks
     up distances between the query's slices and the centroids and sums them for each row;
-    ``refine`` ranks that many of the best by exact distance.
+    ``refine`` ranks that many of the best by exact distance. What the estimates need of it
+    to find the neighbours grows with the table, so the audit measures it on the table itself.
     """
 
-    FIT_SAMPLE, ROUNDS = 20_000, 15
+    FIT_SAMPLE, ROUNDS, BINS = 20_000, 15, 512
 
     def __init__(self, rows: DataFrame, dim: int, *, parts: int = 8, centroids: int = 64, vector: str = "embedding", metric: str = "cosine", seed: int = 1):
         if dim % parts or not 1 <= centroids <= 256:
@@ -198,6 +199,7 @@ class ProductIndex:
         schema = T.StructType([*rows.schema.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
         books, scaled = self.books, self._scaled
         self.rows = ready.withColumn("_v", V.as_vector(vector)).mapInArrow(lambda b: _encode(b, books, scaled), schema)
+        self._refined: dict[int, int] = {}
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         """Cosine ranks as the distance of vectors at length 1 does."""
@@ -217,16 +219,107 @@ class ProductIndex:
             centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
         return centre
 
-    def search(self, query: Sequence[float], k: int, *, id_column: str, refine: int = 0) -> DataFrame:
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Distances between queries' slices and the centroids: (query, part, centroid)."""
         parts, _, width = self.books.shape
-        q = self._scaled(np.array(query, float).reshape(1, parts, width))[0]
-        tables = ((self.books - q[:, None, :]) ** 2).sum(2)
+        return ((self.books[None] - self._scaled(q.reshape(-1, parts, width))[:, :, None, :]) ** 2).sum(3)
+
+    def refined(self, k: int, id_column: str) -> int:
+        """Rows that searches of k neighbours have to rank by exact distance."""
+        if k not in self._refined:
+            found = _audit(self.rows, "codes", k, id_column=id_column, vector=self.vector, metric=self.metric)
+            near = [(n, i, codes) for n, (_, values) in enumerate(found) for i, codes in values]
+            ranks: list[int] = []
+            if near:
+                tables = self.tables(np.array([q for q, _ in found]))
+                at, ids, codes = (np.array(x) for x in zip(*near, strict=True))
+                marks = [np.array([_estimates(tables[[n]], codes[[j]])[0, 0] for j, n in enumerate(at)]), ids, at]
+                ahead = self.rows.select(F.col(id_column).cast("long").alias("id"), "codes").mapInArrow(lambda b: _count_ahead(b, tables, *marks), "mark int, n long")
+                ranks = [r.n for r in ahead.groupBy("mark").agg(F.sum("n").alias("n")).collect()]
+            self._refined[k] = max(k, _enough(ranks))
+        return self._refined[k]
+
+    def search(self, query: Sequence[float], k: int, *, id_column: str, refine: int | None = 0) -> DataFrame:
+        """By estimates alone, or with ``refine`` rows ranked by exact distance; as many as the audit asks for if that is None."""
+        tables = self.tables(np.array(query, float))[0]
         terms = [F.get(F.array(*[F.lit(float(d)) for d in table]), F.get("codes", F.lit(p))) for p, table in enumerate(tables)]
         found = self.rows.withColumn("estimate", sum(terms[1:], terms[0])).orderBy("estimate", id_column)
+        refine = self.refined(k, id_column) if refine is None else refine
         if not refine:
             return found.limit(k)
         return nearest(found.limit(max(refine, k)), query, k, id_column=id_column, vector=self.vector, metric=self.metric)
 
+    def search_many(self, queries: DataFrame, k: int, *, id_column: str, refine: int | None = None) -> DataFrame:
+        """(qid, id, distance, rank) of many queries (qid, vector).
+
+        Counts of estimates in BINS ranges give each query's bound, below which at least ``refine`` rows
+        are; all rows below it are ranked by exact distance, so no task holds more than its best k.
+        """
+        refine, bins = self.refined(k, id_column) if refine is None else max(refine, k), self.BINS
+
+        def among(q: np.ndarray):
+            tables = self.tables(q)
+            low, high = tables.min(2).sum(1), tables.max(2).sum(1)
+            step = np.maximum((high - low) / bins, 1e-12)
+            counted = self.rows.select("codes").mapInArrow(lambda b: _count_bins(b, tables, low, step, bins), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+            below = F.sum("n").over(Window.partitionBy("q").orderBy("bin"))
+            last = np.full(len(q), bins)
+            for n, b in counted.withColumn("below", below).filter(F.col("below") >= refine).groupBy("q").agg(F.min("bin")).collect():
+                last[n] = b
+            return _EstimatedNear(tables, low, step, bins, last)
+
+        return nearest_many(self.rows, queries, k, id_column=id_column, vector=self.vector, metric=self.metric, column="codes", among=among)
+
+
+def _estimates(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of the tables' entries: queries x rows."""
+    out = tables[:, 0][:, codes[:, 0]]
+    for p in range(1, codes.shape[1]):
+        out += tables[:, p][:, codes[:, p]]
+    return out
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _bin(estimates: np.ndarray, low: np.ndarray, step: np.ndarray, bins: int) -> np.ndarray:
+    return np.clip((estimates - low[:, None]) / step[:, None], 0, bins - 1).astype(np.int32)
+
+
+def _count_bins(batches: Iterator[pa.RecordBatch], tables: np.ndarray, low: np.ndarray, step: np.ndarray, bins: int) -> Iterator[pa.RecordBatch]:
+    """A task's counts of estimates by query and range."""
+    counts = np.zeros(len(tables) * bins, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            found = _bin(_estimates(tables, _codes(batch.column(0).slice(at, SLICE_ROWS))), low, step, bins)
+            counts += np.bincount((found + bins * np.arange(len(tables))[:, None]).ravel(), minlength=len(counts))
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used // bins, pa.int32()), pa.array(used % bins, pa.int32()), pa.array(counts[used], pa.int64())], names=["q", "bin", "n"])
+
+
+def _count_ahead(batches: Iterator[pa.RecordBatch], tables: np.ndarray, marks: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's counts of rows that the order of estimates puts before each mark, a neighbour of query ``at``."""
+    counts = np.zeros(len(marks), np.int64)
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            own = part.column(0).to_numpy(zero_copy_only=False)
+            estimates = _estimates(tables, _codes(part.column(1)))
+            for j, n in enumerate(at):
+                e = estimates[n]
+                counts[j] += np.count_nonzero((e < marks[j]) | ((e == marks[j]) & (own < ids[j])))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(marks)), pa.int32()), pa.array(counts)], names=["mark", "n"])
+
+
+class _EstimatedNear:
+    def __init__(self, *how):
+        self.how = how
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        tables, low, step, bins, last = self.how
+        return _bin(_estimates(tables, _codes(column)), low, step, bins) <= last[:, None]
+
 
 def _nearest_centroid(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return ((centre * centre).sum(1)[None, :] - 2 * x @ centre.T).argmin(1)

@@ -555,10 +555,12 @@ query(name="ann_sign_hash_recall")(recall_of(ann_sign_hash))
 
 @query()
 def ann_product(spark, sf_dir):
-    ship(spark)
-    rows = collection(spark, sf_dir)
-    q = search.vector_of(rows, "vec_id", 0, "embedding")
-    return shown(ann.ProductIndex(rows, len(q), parts=8, centroids=32).search(q, 10, id_column="vec_id", refine=100))
+    rows, queries = every_hundredth(spark, sf_dir)
+    dim = len(search.vector_of(rows, "vec_id", 0, "embedding"))
+    return ranked(ann.ProductIndex(rows, dim, parts=8, centroids=32).search_many(queries, 10, id_column="vec_id"))
+
+
+query(name="ann_product_recall")(recall_of(ann_product))
 
 
 @query()

@@ -1,5 +1,7 @@
 """Recall of the registered approximate searches, over all their queries."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +16,7 @@ def mean_recall(spark, name):
     return sum(got) / len(got)
 
 
-@pytest.mark.parametrize("name", ["ann_sign_hash"])
+@pytest.mark.parametrize("name", ["ann_sign_hash", "ann_product"])
 def test_recall(spark, name):
     assert mean_recall(spark, name) >= 0.9
 
@@ -33,3 +35,19 @@ def test_sign_hash_fills_up(spark):
     rows = spark.range(40).selectExpr("id", "array(1.0 + id / 1000, 1.0, 1.0, 1.0) AS embedding")
     index = ann.SignHashIndex(rows, 4, tables=2, bits=4)
     assert index.search([-1.0, -1.0, -1.0, -1.0], 10, id_column="id", probes=1).count() == 10
+
+
+def test_product_refines_more_of_a_larger_table(spark):
+    """On random unit vectors a fixed number of refined rows loses neighbours as the table grows."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((12_000, 64)).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "embedding": [v.tolist() for v in x]})).selectExpr("id", "cast(embedding AS array<float>) AS embedding").cache()
+    refined = []
+    for n in (2000, 12_000):
+        part = rows.filter(f"id < {n}")
+        index = ann.ProductIndex(part, 64, parts=8, centroids=32)
+        queries = part.filter("id < 40").selectExpr("id AS qid", "embedding")
+        got = search.recall(index.search_many(queries, 10, id_column="id"), search.nearest_many(part, queries, 10, id_column="id"), 10).collect()
+        assert sum(g.recall for g in got) / len(got) >= 0.9
+        refined.append(index.refined(10, "id"))
+    assert refined[1] > 2 * refined[0]
