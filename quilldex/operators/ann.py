@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quilldex.functions import vectors as V
-from quilldex.operators.search import SLICE_ROWS, distances, nearest, nearest_many
+from quilldex.operators.search import SLICE_ROWS, distances, nearest, nearest_many, query_blocks
 from quilldex.types import GRAPH_DEFAULTS
 
 #: Rows that centroids are fitted on at most; all rows are indexed.
@@ -55,7 +55,7 @@ def _enough(ranks: Sequence[int]) -> int:
 
 
 class CellIndex:
-    """Vectors dealt to cells of nearest centroids; a search reads the cells nearest to the query."""
+    """Vectors dealt to cells of nearest centroids; a search reads the cells nearest to the query, as many as the audit asks for unless told."""
 
     def __init__(self, rows: DataFrame, cells: int, *, vector: str = "embedding", metric: str = "cosine", seed: int = 1, fit_rows: int = FIT_ROWS):
         self.vector, self.metric = vector, metric
@@ -66,22 +66,56 @@ class CellIndex:
         self.model = KMeans(k=cells, seed=seed, featuresCol="_features", predictionCol="cell", maxIter=20).fit(sample)
         self.centroids = np.array(self.model.clusterCenters())
         self.rows = self.model.transform(ready).drop("_features")
+        self._probes: dict[int, int] = {}
 
     def write(self, path: str) -> None:
         """One folder a cell: a search lists and reads only those it probes."""
         self.rows.repartition("cell").write.partitionBy("cell").parquet(path)
 
-    def probed(self, query: Sequence[float], probes: int) -> list[int]:
+    def order(self, query: Sequence[float]) -> np.ndarray:
+        """All cells, the nearest first."""
         q = np.array(query, float)
         if self.metric == "cosine" and (norm := float(np.sqrt(q @ q))):
             q = q / norm
-        order = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")
-        return [int(c) for c in order[:probes]]
+        return np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")
+
+    def probed(self, query: Sequence[float], probes: int) -> list[int]:
+        return [int(c) for c in self.order(query)[:probes]]
+
+    def probes(self, k: int, id_column: str) -> int:
+        """Cells that searches of k neighbours have to read."""
+        if k not in self._probes:
+            ranks = []
+            for q, near in _audit(self.rows, "cell", k, id_column=id_column, vector=self.vector, metric=self.metric):
+                rank = np.argsort(self.order(q))
+                ranks += [rank[cell] for _, cell in near]
+            self._probes[k] = _enough(ranks)
+        return self._probes[k]
 
-    def search(self, query: Sequence[float], k: int, probes: int, *, id_column: str, rows: DataFrame | None = None) -> DataFrame:
-        near = (self.rows if rows is None else rows).filter(F.col("cell").isin(self.probed(query, probes)))
+    def search(self, query: Sequence[float], k: int, probes: int | None = None, *, id_column: str, rows: DataFrame | None = None) -> DataFrame:
+        near = (self.rows if rows is None else rows).filter(F.col("cell").isin(self.probed(query, probes or self.probes(k, id_column))))
         return nearest(near, query, k, id_column=id_column, vector=self.vector, metric=self.metric)
 
+    def search_many(self, queries: DataFrame, k: int, probes: int | None = None, *, id_column: str) -> DataFrame:
+        """(qid, id, distance, rank) of many queries (qid, vector)."""
+        probes = probes or self.probes(k, id_column)
+
+        def among(q: np.ndarray):
+            read = np.zeros((len(q), len(self.centroids)), bool)
+            for i, one in enumerate(q):
+                read[i, self.probed(one, probes)] = True
+            return _CellsRead(read)
+
+        return nearest_many(self.rows, queries, k, id_column=id_column, vector=self.vector, metric=self.metric, column="cell", among=among)
+
+
+class _CellsRead:
+    def __init__(self, read: np.ndarray):
+        self.read = read
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        return self.read[:, column.to_numpy(zero_copy_only=False)]
+
 
 class SignHashIndex:
     """Tables of buckets by the signs of random projections; a search reads, of each table, the buckets nearest to the query.
@@ -480,6 +514,25 @@ def search_graphs(graphs: DataFrame, query: Sequence[float], k: int, *, metric:
     return graphs.groupBy("shard").applyInPandas(run, "id long, distance double").orderBy("distance", "id").limit(k)
 
 
+def search_graphs_many(graphs: DataFrame, queries: DataFrame, k: int, *, vector: str = "embedding", metric: str = "cosine", ef: int = GRAPH_DEFAULTS["ef"]) -> DataFrame:
+    """(qid, id, distance, rank) of many queries (qid, vector); every block of them walks the graphs once."""
+    def walk(sent):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            g = SmallWorld.from_table(part, metric)
+            rows = [(qid, i, d) for qid, q in zip(*sent.value, strict=True) for d, i in g.search(q, k, ef)]
+            return pd.DataFrame(rows, columns=["qid", "id", "distance"])
+
+        return run
+
+    schema = "qid long, id long, distance double"
+    out = graphs.sparkSession.createDataFrame([], schema)
+    for ids, matrix in query_blocks(queries, "qid", vector):
+        sent = graphs.sparkSession.sparkContext.broadcast((ids.tolist(), matrix))
+        out = out.unionByName(graphs.groupBy("shard").applyInPandas(walk(sent), schema))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def binary_search(rows: DataFrame, query: Sequence[float], k: int, *, id_column: str, vector: str = "embedding") -> DataFrame:
     """Nearest by the bits of binary quantization: Hamming distance of the elements' signs."""
     words = [sum(1 << (i - low) for i in range(low, min(len(query), low + 62)) if query[i] > 0) for low in range(0, len(query), 62)]

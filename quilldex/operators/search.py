@@ -99,7 +99,7 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, id_column: str,
     """
     read = [F.col(id_column).cast("long").alias("id"), V.as_vector(vector).alias("v"), *([F.col(column)] if column else [])]
     out = None
-    for ids, matrix in _query_blocks(queries, query_id, vector):
+    for ids, matrix in query_blocks(queries, query_id, vector):
         sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, among(matrix) if among else None))
         part = rows.select(*read).mapInArrow(lambda b, sent=sent: _best(b, *sent.value, k, metric, include_self), "qid long, id long, distance double")
         out = part if out is None else out.unionByName(part)
@@ -112,7 +112,7 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, id_column: str,
 QUERY_BLOCK, SLICE_ROWS = 1024, 2048
 
 
-def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, rows = [], []
     for r in queries.select(F.col(query_id).cast("long").alias("q"), V.as_vector(vector).alias("v")).orderBy("q").toLocalIterator():
         ids.append(r.q)

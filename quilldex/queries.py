@@ -523,24 +523,11 @@ def recall_of(search_all: Callable[[SparkSession, str], DataFrame]) -> Query:
 
 @query()
 def ann_cells(spark, sf_dir):
-    rows = collection(spark, sf_dir)
-    q = search.vector_of(rows, "vec_id", 0, "embedding")
-    return shown(ann.CellIndex(rows, 16).search(q, 10, 8, id_column="vec_id"))
+    rows, queries = every_hundredth(spark, sf_dir)
+    return ranked(ann.CellIndex(rows, 16).search_many(queries, 10, id_column="vec_id"))
 
 
-@query()
-def ann_cells_recall(spark, sf_dir):
-    ship(spark)
-    rows = collection(spark, sf_dir)
-    index = ann.CellIndex(rows, 16)
-    index.rows.persist()
-    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
-    exact = search.nearest_many(rows, queries, 10, id_column="vec_id").select("qid", "id")
-    found = None
-    for r in queries.orderBy("qid").toLocalIterator():
-        part = index.search([float(x) for x in r.embedding], 10, 12, id_column="vec_id").select(F.lit(r.qid).alias("qid"), F.col("vec_id").alias("id"))
-        found = part if found is None else found.unionByName(part)
-    return search.recall(found, exact, 10)
+query(name="ann_cells_recall")(recall_of(ann_cells))
 
 
 @query()
@@ -565,11 +552,12 @@ query(name="ann_product_recall")(recall_of(ann_product))
 
 @query()
 def ann_graph(spark, sf_dir):
-    ship(spark)
-    rows = collection(spark, sf_dir)
-    q = search.vector_of(rows, "vec_id", 0, "embedding")
-    found = ann.search_graphs(ann.build_graphs(rows, id_column="vec_id", shard_rows=500, ef_construction=64), q, 10, ef=64)
-    return found.select(F.col("id").alias("vec_id"), F.round("distance", PLACES).alias("distance"))
+    rows, queries = every_hundredth(spark, sf_dir)
+    graphs = ann.build_graphs(rows, id_column="vec_id", shard_rows=500, ef_construction=64).persist()  # blocks of queries share it
+    return ranked(ann.search_graphs_many(graphs, queries, 10, ef=64))
+
+
+query(name="ann_graph_recall")(recall_of(ann_graph))
 
 
 @query(

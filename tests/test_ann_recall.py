@@ -16,11 +16,27 @@ def mean_recall(spark, name):
     return sum(got) / len(got)
 
 
-@pytest.mark.parametrize("name", ["ann_sign_hash", "ann_product"])
+@pytest.mark.parametrize("name", ["ann_sign_hash", "ann_product", "ann_cells", "ann_graph"])
 def test_recall(spark, name):
     assert mean_recall(spark, name) >= 0.9
 
 
+@pytest.mark.parametrize("name", ["ann_cells", "ann_graph"])
+def test_every_hundredth_is_searched(spark, name):
+    got = entry.queries()[name](spark, SF).collect()
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 100 = 0").collect()]
+    assert sorted((r.qid, r["rank"]) for r in got) == sorted((i, k) for i in ids for k in range(1, 11))
+
+
+def test_cells_many_as_one(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    index = ann.CellIndex(rows, 16)
+    many = index.search_many(rows.filter("vec_id in (0, 100)").selectExpr("vec_id AS qid", "embedding"), 10, 3, id_column="vec_id").collect()
+    for q in (0, 100):
+        one = index.search(search.vector_of(rows, "vec_id", q, "embedding"), 10, 3, id_column="vec_id").collect()
+        assert [r.vec_id for r in one] == [r.id for r in sorted(many, key=lambda r: r["rank"]) if r.qid == q]
+
+
 def test_sign_hash_many_as_one(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     index = ann.SignHashIndex(rows, 64, tables=8, bits=6)
