@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +25,25 @@ def union(postings: DataFrame) -> DataFrame:
     """(bucket, bits) of the rows in any of the postings."""
     return postings.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
+
+def intersect(*parts: DataFrame) -> DataFrame:
+    """(bucket, bits) of the rows in all of the parts, each with one bitmap a bucket as union() gives."""
+    every = parts[0].select("bucket", "bits")
+    for part in parts[1:]:
+        every = every.unionByName(part.select("bucket", "bits"))
+    return every.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).filter(F.col("n") == len(parts)).drop("n")
+
+
+def ids_of(bitmaps: DataFrame, name: str = "id") -> DataFrame:
+    """The ids whose bits are set."""
+    return bitmaps.select(F.col("bucket").cast("long").alias("bucket"), "bits").mapInArrow(lambda b: _ids(b, name), f"`{name}` long")
+
+
+def _ids(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Bucket 1 begins at id 1; buckets up to 0 count down from id 0."""
+    for batch in batches:
+        for bucket, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = np.frombuffer(bits.as_py(), np.uint8)
+            at, width = np.flatnonzero(np.unpackbits(raw, bitorder="little")), 8 * len(raw)
+            ids = (bucket - 1) * width + at + 1 if bucket > 0 else bucket * width - at
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=[name])

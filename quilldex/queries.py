@@ -352,8 +352,12 @@ def posting_or(spark, sf_dir):
 
 @query("SELECT p_partkey FROM part WHERE p_size > 40 AND p_brand = 'Brand#11' OR p_size = 1")
 def posting_and_or(spark, sf_dir):
-    rows = read(spark, sf_dir, "part")
-    return rows.filter(compile_filter({"or": [{"and": [_one("p_size", "GT", 40), _one("p_brand", "EQ", "Brand#11")]}, _one("p_size", "EQ", 1)]}, rows.schema)).select("p_partkey")
+    ship(spark)
+    lists = postings.build(read(spark, sf_dir, "part"), "p_partkey", "p_size", "p_brand")
+    having = lambda where: postings.union(lists.filter(where))
+    large = having("column = 'p_size' AND CASE WHEN column = 'p_size' THEN cast(value AS int) END > 40")
+    both = postings.intersect(large, having("column = 'p_brand' AND value = 'Brand#11'"))
+    return postings.ids_of(postings.union(both.unionByName(having("column = 'p_size' AND value = '1'"))), "p_partkey")
 
 
 def changes(spark, sf_dir) -> DataFrame:
