@@ -50,11 +50,11 @@ def byte_symbols() -> list[str]:
 
 @functools.cache
 def simple_pattern() -> tuple[re.Pattern, re.Pattern]:
-    """For texts below U+0250, which NFC leaves alone: what is beyond, and the splitting pattern."""
+    """For texts of U+0001 to U+024F, which NFC leaves alone: what is beyond, and the splitting pattern."""
     chars = [chr(c) for c in range(0x250)] + ["̇"]
     some = lambda kind: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == kind)
     letters, numbers, blank = some("L"), some("N"), "\\t-\\r \\x85\\xa0"
-    return re.compile("[^\\x00-ɏ]"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+")
+    return re.compile("[^\\x01-ɏ]"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+")
 
 
 class WordBpe:
@@ -266,7 +266,11 @@ class WordBpe:
         self.exact += len(words) - int(good.sum())
 
     def split(self, text: str) -> list[str]:
-        """The words of a text without special tokens. Words after \\x00 are in byte symbols already."""
+        """The words of a text without special tokens.
+
+        Words that the library has split are in byte symbols already, where no \\x00 is, and
+        carry one in front; words split here have none, as texts with one are the library's.
+        """
         beyond, pattern = simple_pattern()
         if beyond.search(text) is None:
             return pattern.findall(text.lower())
@@ -274,16 +278,7 @@ class WordBpe:
         return ["\x00" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def to_symbols(self, word: str) -> str:
-        if word[0] == "\x00" and len(word) > 1 and self._mapped(word[1:]):
-            return word[1:]
-        return "".join([self.symbols[b] for b in word.encode()])
-
-    def _mapped(self, word: str) -> bool:
-        return all(c in self.symbol_set for c in word)
-
-    @functools.cached_property
-    def symbol_set(self) -> set[str]:
-        return set(self.symbols)
+        return word[1:] if word[0] == "\x00" else "".join([self.symbols[b] for b in word.encode()])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -338,8 +333,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Encoded and decoded as the library does with the tokenizer file at ``path``, which the
     driver reads and sends to the executors (1.7 MB). Null and empty texts have no ids and
-    decode to the empty text; rows with the same text have the same ids. One map over the
-    rows: no shuffle, memory for one slice of rows and a bounded cache of words.
+    decode to the empty text; rows with the same text have the same ids, repeated rows stay
+    repeated. No rows give no rows; other columns, whatever their names, don't matter. One map
+    over the rows: no shuffle, memory for one slice of rows and a bounded cache of words; a
+    very long text is encoded whole, in memory for itself and its ids.
     """
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -42,6 +43,13 @@ def test_as_the_library(spec, library, docs_rows):
     assert own.exact and own.speculated
 
 
+def test_random_short_texts(spec, library):
+    own = bpe.load(spec)
+    r = random.Random(9)
+    letters = "\x00\x00\x01!.,('\"- \n\t\x7f\x85\xa0aeZ0½ßé́İσς日ไ🙂\u200bĀā"
+    same(own, library, ["".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(20_000)])
+
+
 def test_pairs_that_pass_are_never_merged_across(spec):
     own = bpe.load(spec)
     r = random.Random(8)
@@ -64,7 +72,16 @@ def test_many_words_at_once_as_one_by_one(spec):
 
 
 def test_documents(spark, docs, docs_rows, no_docs, library):
-    got = bpe.digest(bpe.encode_documents(docs.withColumns({"ids": F.lit(1), "decoded": F.lit(2)}), bpe.default_path()))
-    counts = sorted(str((r.doc_id, r.n_tokens)) for r in got.collect())
-    assert counts == sorted(str((r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids))) for r in docs_rows)
+    r = random.Random(10)
+    odd = ["\x00!", "a\x00!", "\x00.", "!\x00(", *ODD, *("".join(r.choice("\x00!.a日é ") for _ in range(r.randint(1, 6))) for _ in range(300))]
+    rows = [*docs_rows, *((2000 + k, t, None, None, None) for k, t in enumerate(odd))]
+    frame = spark.createDataFrame(rows, docs.schema)
+    encoded = bpe.encode_documents(frame.withColumns({"ids": F.lit(1), "decoded": F.lit(2)}), bpe.default_path())
+    got = sorted(str((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in bpe.digest(encoded).collect())
+    want = []
+    for row in rows:
+        ids = library.encode(row[1] or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        want.append(str((row[0], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))))
+    assert got == sorted(want)
     assert bpe.encode_documents(no_docs, bpe.default_path()).count() == 0
