@@ -42,9 +42,9 @@ class Work:
 
     def close(self) -> None:
         """Removes the tables, once nothing reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         if self in Work.open:
             Work.open.remove(self)
 
@@ -59,16 +59,17 @@ def _close_all() -> None:
             return
 
 
-#: Rows of an Arrow batch: texts are long, and batches of Spark's 10,000 take tens of MB each on both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and batches of Spark's 10,000 take tens of MB each on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 _MODEL: dict[str, object] = {}
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors and makes Arrow batches small, unless their size was set."""
     session.ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def model(key: str, build):

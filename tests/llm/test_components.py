@@ -1,5 +1,8 @@
+import os
 import random
 
+from pyspark.sql import functions as F
+
 from quilldex.llm.common import Work
 from quilldex.llm.components import components
 
@@ -32,3 +35,21 @@ def test_chains_stars_and_random_links(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Work(spark, "t")).count() == 0
+
+
+def rounds(work):
+    return sum(name.endswith("-parents") for name in os.listdir(work.root.removeprefix("file:")))
+
+
+def test_rounds_grow_with_the_logarithm(spark):
+    n, work = 10_000, Work(spark, "t")
+    got = components(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), work)
+    assert got.filter("component = 0").count() == n + 1 == got.count()
+    assert rounds(work) <= 20, rounds(work)
+    print('rounds', rounds(work))
+    work = Work(spark, "t")
+    star = components(spark.range(1, 500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), work)
+    assert star.filter("component = 0").count() == 500 and rounds(work) == 1
+    work = Work(spark, "t")
+    hub = components(spark.range(500).select(F.lit(900).cast("long").alias("a"), F.col("id").alias("b")), work)
+    assert hub.filter("component = 0").count() == 501 and rounds(work) <= 4
