@@ -29,10 +29,13 @@ def session(name: str = "quilldex", **more: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines see: spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a temporary folder is set.
+    Only where it is unset and everything runs on one machine a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="quilldex-shared-")
         atexit.register(shutil.rmtree, local, True)
         spark.sparkContext.setCheckpointDir(local)
