@@ -15,20 +15,22 @@ at most, so that no group of copies is expanded into its pairs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
+from . import bloom
 from .common import Work, trimmed
 from .components import components
 from .textvec import mix, texts_of, word_hashes
 
-#: Independent trees; a pair of similarity 0.85 shares none of their first nodes once in a million.
-TREES = 6
+#: Independent trees, of which no two select the same token at the root: a pair of similarity 0.85 shares
+#: none of their first nodes once in four million times, one of 0.80 once in 400,000.
+TREES = 8
 TOKENS = 64
 #: Deviations below the expected number of agreeing tokens at which a pair is no candidate any more.
 DEVIATIONS = 5
@@ -36,10 +38,11 @@ DEVIATIONS = 5
 NODE_MEMBERS, NODE_SHINGLES = 4096, 4_000_000
 #: Large nodes branch this often before stars around a pivot join and prune them; and at most.
 PLAIN_LEVELS, LEVELS = 3, 16
-#: Digests that a task holds to pick texts; beyond, a join picks them.
+#: Classes that lose rows up to which Spark alone chooses their join with the texts; beyond, a Bloom filter keeps
+#: texts of other classes out of it.
 PICK = 1_000_000
 SLICE_ROWS = 500
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+_MARKS = [StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sketch", BinaryType())]
 _SETS = pa.schema([("digest", pa.binary()), ("data", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _rng = np.random.default_rng(20240229)
@@ -88,30 +91,32 @@ def digest_of(x: np.ndarray) -> bytes:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, each with the size, digest and sketch of its text's set."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            sets = shingle_sets(texts_of(part.column(1)), width)
+            row = batch.column(0).slice(at, SLICE_ROWS)
+            sets = shingle_sets(texts_of(row.field("text")), width)
             full = [s for s in sets if len(s)]
             lines = iter(sketches(full)) if full else iter(())
             digests = [digest_of(s) if len(s) else None for s in sets]
             sketch = [next(lines).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([row, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], names=["row", "n", "digest", "sketch"])
 
 
-def _pick(batches: Iterator[pa.RecordBatch], width: int, wanted: set[bytes] | None) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted digests, each once a task."""
+def _pick(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the digests that the filter may hold, each once a task; other texts are not looked at."""
     seen: set[bytes] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            keys, data = [], []
-            for s in shingle_sets(texts_of(batch.slice(at, SLICE_ROWS).column(0)), width):
-                if len(s) and (d := digest_of(s)) not in seen and (wanted is None or d in wanted):
-                    if wanted is not None:
-                        seen.add(d)
-                    keys.append(d)
-                    data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], schema=_SETS)
+        hit = bloom.may_hold(bits, digests := batch.column(0).to_pylist())
+        wanted = []
+        for k in np.flatnonzero(hit).tolist():
+            if digests[k] not in seen:
+                seen.add(digests[k])
+                wanted.append(k)
+        for at in range(0, len(wanted), SLICE_ROWS):
+            part = wanted[at : at + SLICE_ROWS]
+            sets = shingle_sets(texts_of(batch.column(1).take(pa.array(part))), width)
+            yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in part], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SETS)
 
 
 def forest(near: np.ndarray) -> np.ndarray:
@@ -221,16 +226,15 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int, exact: bool)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
 
 
-def branch(members: DataFrame, tokens: DataFrame, trees: int, twice: Callable[[int], bool] | None) -> DataFrame:
+def branch(members: DataFrame, tokens: DataFrame, trees: int, twice: bool) -> DataFrame:
     """Children of nodes: (node, id, n). Which tokens are selected depends on the node alone.
 
-    With ``twice`` (by tree) a tree selects one or two tokens, so that 1 / 0.85 paths go on on
-    average; without it two tokens are selected at every node.
+    Each tree selects one token, or two with ``twice`` so that enough paths go on; all
+    tokens that a node selects differ.
     """
-    picks = []
-    for t in range(trees):
-        for k in range(2 if twice is None or twice(t) else 1):
-            picks.append(F.struct(F.lit(t).alias("t"), F.pmod(F.xxhash64("node", F.lit(t), F.lit(k)), F.lit(TOKENS)).cast("int").alias("c")))
+    each = 2 if twice else 1
+    first, step = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)), 2 * F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS // 2)) + 1
+    picks = [F.struct(F.lit(k // each).alias("t"), F.pmod(first + k * step, F.lit(TOKENS)).cast("int").alias("c")) for k in range(trees * each)]
     paths = members.join(tokens, "id").withColumn("p", F.explode(F.array(*picks)))
     child = F.xxhash64("node", "p.t", "p.c", F.expr("substring(sketch, 4 * p.c + 1, 4)"))
     return paths.select(child.alias("node"), "id", "n").distinct()
@@ -271,7 +275,7 @@ def explore(members: DataFrame, tokens: DataFrame, data: DataFrame, work: Work,
         if last:
             found.append(work.keep(_leaves(_block_pairs(large.select("node", "id", "n"), exact), data, percent, exact), "links"))
             break
-        members = work.keep(branch(large.select("node", "id", "n"), tokens, TREES if exact and not level else 1, None), "branches")
+        members = work.keep(branch(large.select("node", "id", "n"), tokens, TREES if exact and not level else 1, True), "branches")
     return _all(found)
 
 
@@ -303,12 +307,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents whose sets of ``width``-word shingles have 100 * intersection >= percent * union
     are linked; component_id is the smallest doc_id reachable by links, its own included, and
     the row with that doc_id is kept. A text with fewer words is one shingle; one without
-    words, null too, has none and is linked with nothing. Equal sets are linked. Rows that
+    words, null too, has none and is linked with nothing; a very long text is a set like any
+    other, 8 bytes a shingle in the task that reads it. Equal sets are linked. Rows that
     repeat a doc_id are compared by their own texts; null doc_ids never name a component
-    unless it has no other. No rows give no rows.
+    unless it has no other. No rows give no rows; other columns don't matter.
     """
     work = Work(docs.sparkSession, "near")
-    rows, named = _classes(docs, work, width, percent)
+    rows, named = _classes(docs.select("doc_id", "text"), work, width, percent)
     named = named.select(F.col("digest").alias("key"), "component_id")
     out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("key"), "left")
     return out.select(
@@ -317,19 +322,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, digest, sketch) and classes (digest, component, first, component_id), both written.
+    """Rows (row, doc_id, n, digest, sketch) and classes (digest, component, first, component_id), both written.
 
-    ``component`` numbers the components; ``first`` is the smallest doc_id of the class.
+    Every text is shingled once; those of families once more. ``row`` holds the columns of
+    ``docs``, which so can't clash with ours; ``component`` numbers the components; ``first``
+    is the smallest doc_id of the class.
     """
-    rows = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(lambda x: _rows(x, width)), "doc_id long, n long, digest binary, sketch binary"), "rows")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = packed.mapInArrow(trimmed(lambda x: _rows(x, width)), StructType([*packed.schema.fields, *_MARKS]))
+    rows = work.keep(marked, "rows").withColumn("doc_id", F.col("row.doc_id").cast("long"))
     full = rows.filter("digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = work.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("id", "sketch")
-    roots = branch(classes.select(F.lit(0).cast("long").alias("node"), "id", "n"), tokens, TREES, lambda t: t % 6 == 5)
+    roots = branch(classes.select(F.lit(0).cast("long").alias("node"), "id", "n"), tokens, TREES, False)
     maybe = explore(work.keep(roots, "roots"), tokens, classes.select("id", "n", F.col("sketch").alias("data")), work, percent, False)
     family = work.keep(components(maybe, work).join(classes.select("id", "n", "digest"), "id"), "families")
-    sets = work.keep(_sets_of(docs, family, width), "sets", "none")
+    sets = work.keep(_sets_of(rows, family, width), "sets", "none")
     links = explore(family.select(F.col("component").alias("node"), "id", "n"), tokens, sets, work, percent, True)
     known = components(links, work)
     named = classes.select("id", "digest", "first").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -341,20 +350,12 @@ def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[Dat
     return rows, work.keep(named, "components")
 
 
-def _mark(batches: Iterator[pa.RecordBatch], width: int, name: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.schema.get_field_index("text")
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            sets = shingle_sets(texts_of(part.column(place)), width)
-            yield part.append_column(name, pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()))
-
-
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, columns as they are.
 
     It is a row of the class that holds the group's smallest doc_id, and of repeated rows
-    there the first by text. Rows without words are in no group and stay.
+    there the first by text. Rows without words, null and empty texts too, are in no group
+    and stay. Very long texts, null doc_ids and no rows are as in near_duplicates().
     """
     work = Work(docs.sparkSession, "keep")
     rows, named = _classes(docs, work, width, percent)
@@ -362,41 +363,45 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest"))
     winners = named.groupBy("component").agg(best.alias("w")).select("component", "w.digest")
     lost = named.join(winners.withColumnRenamed("digest", "winner"), "component").select("digest", "first", (F.col("digest") == F.col("winner")).alias("wins"))
-    copies = rows.filter("digest is not null").join(named.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"))
+    copies = rows.filter("digest is not null").select("doc_id", "digest").join(named.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"))
     copies = copies.groupBy("digest").agg(F.count("*").alias("copies"), F.count_if(F.col("doc_id").eqNullSafe(F.col("first"))).alias("again"))
     plan = lost.join(copies, "digest").filter("not wins or copies > 1").select(F.col("digest").alias("of"), "first", "wins", "again")
     plan = work.keep(plan, "plan")
-    # up to PICK rows of 33 bytes the plan goes to the texts; beyond, Spark shuffles both
-    plan = F.broadcast(plan) if plan.count() <= PICK else plan
-    mark = "_set_digest"
-    while mark in docs.columns:
-        mark = f"_{mark}"
-    marked = docs.mapInArrow(trimmed(lambda x: _mark(x, width, mark)), _with(docs, mark))
-    # a row's columns travel as one, so that none can clash with the plan's
-    packed = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(mark).alias("digest"))
-    joined = packed.join(plan, F.col("digest") == F.col("of"), "left").filter("of is null or (wins and row.doc_id <=> first)")
-    single = joined.filter("of is null or again = 1").select("row.*")
-    if plan.filter("wins and again > 1").isEmpty():
-        return single
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("row.text"))
-    return single.unionByName(joined.filter("again > 1").withColumn("nth", nth).filter("nth = 1").select("row.*"))
-
-
-def _with(docs: DataFrame, name: str) -> StructType:
-    return StructType([*docs.schema.fields, StructField(name, BinaryType())])
-
-
-def _sets_of(docs: DataFrame, family: DataFrame, width: int) -> DataFrame:
-    """(id, n, data) of the classes in families: their texts are read and shingled once more, none is shuffled."""
-    texts, key = docs.select("text"), family.select("id", "n", "digest")
-    wanted = None
-    if key.count() <= PICK:
-        digests = docs.sparkSession.sparkContext.broadcast({bytes(r.digest) for r in key.select("digest").toLocalIterator()})
-        picked = texts.mapInArrow(trimmed(lambda x: _pick(x, width, digests.value)), "digest binary, data binary")
-    else:
-        picked = texts.mapInArrow(trimmed(lambda x: _pick(x, width, wanted)), "digest binary, data binary")
-    once = picked.join(key, "digest").groupBy("id").agg(F.first("n").alias("n"), F.first("data").alias("data"))
-    return once
+    packed, alone = rows.select("row", "doc_id", "digest"), None
+    if (n := plan.count()) > PICK:
+        # what the filter does not hold is in no such class and stays as it is; only the rest meets the plan
+        told = _with_hits(packed, bloom.sent(plan, "of", n))
+        packed, alone = told.filter("hit"), told.filter("not hit").select("row.*")
+    joined = packed.join(plan, F.col("digest") == F.col("of"), "left").filter("of is null or (wins and doc_id <=> first)")
+    out = joined.filter("of is null or again = 1").select("row.*")
+    if not plan.filter("wins and again > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy("row.text"))
+        out = out.unionByName(joined.filter("again > 1").withColumn("nth", nth).filter("nth = 1").select("row.*"))
+    return out if alone is None else out.unionByName(alone)
+
+
+def _with_hits(rows: DataFrame, bits) -> DataFrame:
+    """Adds ``hit``: whether the filter may hold a row's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = bloom.may_hold(bits.value, batch.column(batch.schema.get_field_index("digest")).to_pylist())
+            yield batch.append_column("hit", pa.array(hit))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
+
+
+def _sets_of(rows: DataFrame, family: DataFrame, width: int) -> DataFrame:
+    """(id, n, data) of the classes in families.
+
+    A Bloom filter of their digests, 16 MB at most, tells which texts are shingled once more;
+    the join with the digests takes the few wrong ones out. No text is shuffled, and sets of
+    other classes aren't either, as long as the filter isn't full.
+    """
+    key = family.select("id", "n", "digest")
+    bits = bloom.sent(key, "digest", key.count())
+    picked = rows.filter("digest is not null").select("digest", "row.text").mapInArrow(trimmed(lambda x: _pick(x, width, bits.value)), "digest binary, data binary")
+    return picked.join(key, "digest").groupBy("id").agg(F.first("n").alias("n"), F.first("data").alias("data"))
 
 
 ORACLE = r"""

@@ -69,19 +69,47 @@ def test_large_nodes_branch_and_are_compared_in_blocks(spark, docs, monkeypatch)
         assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
-def test_beyond_the_picking_bound(spark, docs, docs_rows, monkeypatch):
-    monkeypatch.setattr(C, "PICK", 1)
-    assert sorted(str(tuple(r)) for r in C.near_duplicates(docs, 3, 85).collect()) == brute(docs_rows, 3, 85)
-
-
-def test_one_of_each_group_stays(spark, docs, docs_rows, no_docs):
-    kept = C.keep_one(docs.withColumn("first", F.lit("clash")).withColumn("extra", F.lit(1)))
-    assert kept.columns == [*docs.columns, "first", "extra"]
+def test_selected_tokens_differ(spark):
+    tokens = spark.createDataFrame([(1, np.arange(C.TOKENS, dtype="<u4").tobytes())], "id long, sketch binary")
+    members = spark.range(20).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("id"), F.lit(1).cast("long").alias("n"))
+    # one member, all of whose tokens differ: as many children as selections
+    assert C.branch(members, tokens, C.TREES, True).count() == 20 * 2 * C.TREES
+
+
+def test_recall_where_nodes_branch(spark, docs, monkeypatch):
+    """Texts that share half of their words, so that nodes are far too large, and pairs planted among them."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows, pairs = [], []
+    for k in range(150):
+        words = [*base[:120], *(f"u{r.randrange(10**9)}" for _ in range(80))]
+        near = list(words)
+        for _ in range(r.randint(0, 6)):
+            near[r.randrange(120, 200)] = f"v{r.randrange(10**9)}"
+        rows += [(2 * k, " ".join(words), "en", "a", 1), (2 * k + 1, " ".join(near), "en", "a", 1)]
+        a, b = shingles(rows[-2][1], 5), shingles(rows[-1][1], 5)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            pairs.append((2 * k, 2 * k + 1))
+    monkeypatch.setattr(C, "NODE_MEMBERS", 32)
+    monkeypatch.setattr(C, "NODE_SHINGLES", 32 * 200)
+    monkeypatch.setattr(C, "LEVELS", 3)
+    got = {x.doc_id: x.component_id for x in C.near_duplicates(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert len(pairs) > 60
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert len(set(got.values())) >= 300 - len(pairs)
+
+
+def test_one_of_each_group_stays(spark, docs, docs_rows, no_docs, monkeypatch):
+    clashing = docs.withColumns({"first": F.lit("clash"), "extra": F.lit(1), "digest": F.lit("x"), "row": F.lit(1)})
+    kept = C.keep_one(clashing)
+    assert kept.columns == [*docs.columns, "first", "extra", "digest", "row"]
     judged = [ast.literal_eval(x) for x in brute(docs_rows, 5, 80)]
     want = {component for _, n, component, _ in judged if n}
     blank = sum(not WORD.search(r[1] or "") for r in docs_rows)
     ids = [r.doc_id for r in kept.filter("text is not null and trim(both ' \t\n' from text) <> ''").collect()]
     assert sorted(map(str, ids)) == sorted(map(str, want)) and kept.count() == len(want) + blank
+    monkeypatch.setattr(C, "PICK", 1)
+    assert sorted(map(str, C.keep_one(clashing).collect())) == sorted(map(str, kept.collect()))
     assert C.keep_one(no_docs).count() == 0 and C.near_duplicates(no_docs).count() == 0
 
 
