@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and contextual extraction that bootstraps from them.
 
-Spans of the fixed patterns are seeds. The two words before and the two after a seed are
-lexical patterns; tokens that look like identifiers are instances. Spark scores the graph
-of patterns and instances in rounds: a pattern by the share of its slots, over the whole
-corpus, that confident instances fill, an instance by its patterns. What stands in a slot
-of a pattern that is confident in the end, and isn't a base span, is found too.
+Spans of the fixed patterns are seeds, and so are long hexadecimal words, the seeds of the
+kind ``secret``. The two words before and the two after a seed are lexical patterns; tokens
+that look like identifiers are instances. Spark scores the graph of patterns and instances
+in rounds: a pattern by the share of its slots, over the whole corpus, that confident
+instances fill, an instance by its patterns. What stands in a slot of a pattern that is
+confident in the end, and isn't a base span, is found too. A secret is found by its pattern
+alone: a hexadecimal word elsewhere is none.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Work, trimmed
 from .textvec import mix, texts_of, word_hashes
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = KINDS.index("secret")
 # Fixed patterns
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -30,15 +36,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-BLANK = frozenset(" \t\n\x0b\x0c\r")
 LIKE = re.compile(r"[0-9@]")
+HEX = re.compile(r"(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+")
 OUTER = ".,;:!?\"'()[]{}<>*%$#&|=/\\`~^"
 
 #: Distinct seeds that a pattern needs, its share of filled slots, rounds of scoring, shortest identifier.
 LEAST_SEEDS, CONFIDENT, ROUNDS, LEAST_CHARS = 5, 0.8, 3, 5
 #: Patterns that a task holds in one pass over the texts (8 bytes each); more take more passes.
 BLOCK_PATTERNS = 1_000_000
-WINDOW = 256
 SLICE_ROWS = 500
 SPAN = "struct<k:int,s:int,e:int>"
 MENTION = "struct<k:int,s:int,e:int,before:bigint,after:bigint,inst:bigint>"
@@ -92,31 +97,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _words_before(text: str, at: int) -> str:
-    """The two whole tokens before a place, blank if there aren't two within the window."""
-    low = max(0, at - WINDOW)
-    words = TOKEN.findall(text[low:at])
-    if low and text[low - 1] not in BLANK:
-        words = words[1:]
-    return " ".join(words[-2:]) if len(words) >= 2 else ""
-
-
-def _words_after(text: str, at: int) -> str:
-    high = min(len(text), at + WINDOW)
-    words = TOKEN.findall(text[at:high])
-    if high < len(text) and text[high] not in BLANK:
-        words = words[:-1]
-    return " ".join(words[:2]) if len(words) >= 2 else ""
-
-
-def mentions_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
-    """(kind or -1, start, end, words before, words after, folded text) of base spans and other identifiers."""
-    if LIKE.search(text) is None:
-        return []
+def places_of(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
+    """(kind or -1, start, end) of base spans and other identifiers, and where the words of the text start and end."""
     taken = sorted((s, e) for _, s, e in base)
-    places = [(k, s, e) for k, s, e in base]
+    places, starts, ends = list(base), [], []
     nth = 0
     for m in TOKEN.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
         if LIKE.search(m[0]) is None:
             continue
         inner = m[0].strip(OUTER)
@@ -126,16 +114,8 @@ def mentions_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             nth += 1
         free = not any(s < end and start < e for s, e in taken[max(0, nth - 1) : nth + 4])
         if free and len(inner) >= LEAST_CHARS and LIKE.search(inner):
-            places.append((-1, start, end))
-    out = []
-    for k, s, e in places:
-        left, right = s, e
-        while left and text[left - 1] not in BLANK:
-            left -= 1
-        while right < len(text) and text[right] not in BLANK:
-            right += 1
-        out.append((k, s, e, _words_before(text, left), _words_after(text, right), text[s:e].lower()))
-    return out
+            places.append((SECRET if HEX.fullmatch(inner) else -1, start, end))
+    return places, starts, ends
 
 
 def _pairs(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +123,50 @@ def _pairs(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(words[:-1] * np.uint64(0x2545F4914F6CDD1D) + words[1:])[near].view(np.int64), owner[1:][near]
 
 
-def _pattern_ids(contexts: list[str], side: int) -> list[int | None]:
-    """Numbers of two-word contexts; before and after differ in their last bit."""
-    words, counts, _ = word_hashes([c.encode() for c in contexts])
-    ids, owner = _pairs(words, np.repeat(np.arange(len(contexts)), counts))
-    out: list[int | None] = [None] * len(contexts)
-    for k, x in zip(owner.tolist(), ((ids & ~1) | side).tolist(), strict=True):
-        out[k] = x
-    return out
+class Mentions:
+    """Base spans and other identifiers of some texts, with the numbers of their patterns: the words of a text
+    are read once and hashed, so that contexts of whole words cost the same however long the words are.
+
+    ``before`` and ``after`` number the two words there, 0 if there aren't two; they differ in their last bit.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        self.base, self.sizes = [], []
+        self.k, self.s, self.e, names = [], [], [], []
+        like, left, right = [], [], []
+        n_words = 0
+        for text in texts:
+            base = base_spans(text) if text else []
+            self.base.append(base)
+            if not text or LIKE.search(text) is None:
+                self.sizes.append(0)
+                continue
+            places, starts, ends = places_of(text, base)
+            self.sizes.append(len(places))
+            if not places:
+                continue
+            like.append(text.encode())
+            low, high = n_words, n_words + len(starts)
+            for k, s, e in places:
+                first, last = bisect_right(starts, s) - 1 + low, bisect_right(starts, e - 1) - 1 + low
+                left.append(first - 2 if first - 2 >= low else -1)
+                right.append(last + 1 if last + 2 < high else -1)
+                self.k.append(k)
+                self.s.append(s)
+                self.e.append(e)
+                names.append(text[s:e].lower())
+            n_words = high
+        words = word_hashes(like)[0] if like else np.empty(0, np.uint64)
+        pair = mix(words[:-1] * np.uint64(0x2545F4914F6CDD1D) + words[1:]).view(np.int64) & ~1 if len(words) > 1 else np.zeros(1, np.int64)
+        left, right = np.array(left, np.int64), np.array(right, np.int64)
+        self.before = np.where(left >= 0, pair[np.maximum(left, 0)], 0)
+        self.after = np.where(right >= 0, pair[np.maximum(right, 0)] | 1, 0)
+        self.instances = _instance_ids(names)
+
+
+def _list_of(fields: list[tuple[pa.Field, list | np.ndarray]], sizes: list[int]) -> pa.Array:
+    arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in fields]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(arrays, fields=[f for f, _ in fields]))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,22 +174,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
-            bases, flat, sizes = [], [], []
-            for text in part.column(1).to_pylist():
-                base = base_spans(text or "")
-                found = mentions_of(text or "", base)
-                bases.append([{"k": k, "s": s, "e": e} for k, s, e in base])
-                flat += found
-                sizes.append(len(found))
-            before, after = _pattern_ids([m[3] for m in flat], 0), _pattern_ids([m[4] for m in flat], 1)
-            inst = _instance_ids([m[5] for m in flat])
-            rows = [{"k": m[0], "s": m[1], "e": m[2], "before": b, "after": a, "inst": i} for m, b, a, i in zip(flat, before, after, inst, strict=True)]
-            mentions, k = [], 0
-            for n in sizes:
-                mentions.append(rows[k : k + n])
-                k += n
+            found = Mentions(part.column(1).to_pylist())
+            spans = [x for base in found.base for x in base]
+            base = _list_of([(f, [x[k] for x in spans]) for k, f in enumerate(_SPAN)], [len(x) for x in found.base])
+            sides = [pa.array(x, pa.int64(), mask=x == 0) for x in (found.before, found.after)]
+            mentions = _list_of([*zip(_MENTION, (found.k, found.s, found.e, *sides, found.instances), strict=True)], found.sizes)
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + n), pa.int64()), part.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(mentions, pa.list_(_MENTION))], schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + n), pa.int64()), part.column(0), base, mentions], schema=_FOUND)
             rid += n
 
 
@@ -266,15 +273,17 @@ def extract(docs: DataFrame) -> DataFrame:
 
     k counts KINDS, s and e are code points, e exclusive; both arrays are sorted by kind and
     start. ``spans`` are the base spans and those that confident patterns add, which never
-    overlap a base span. Null and empty texts have none; repeated rows are found alike, each
-    row on its own.
+    overlap a base span and have the kind of their pattern, ``secret`` perhaps. Null and empty
+    texts have none; repeated rows are found alike, each row on its own; no rows give no rows,
+    and other columns, whatever their names, don't matter. A text is read in time that grows
+    with its length, words of any length included, within the task that holds it.
     """
     work = Work(docs.sparkSession, "pii")
     found = find(docs, work)
     confident = learn(docs, found, work)
     if confident.isEmpty():
         return found.select("doc_id", "base", F.col("base").alias("spans"))
-    free = found.select("rid", F.explode("mentions").alias("m")).select("rid", "m.*").filter("k < 0").drop("k")
+    free = found.select("rid", F.explode("mentions").alias("m")).select("rid", "m.*").filter(f"k < 0 or k >= {SECRET}").drop("k")
     slot = free.select("rid", "s", "e", F.explode(F.array_compact(F.array("before", "after"))).alias("pattern")).join(confident, "pattern")
     added = slot.groupBy("rid", "s", "e").agg(F.min("k").alias("k")).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
     both = found.select("rid", "doc_id", "base").join(added, "rid", "left")
@@ -289,7 +298,7 @@ def spans_text(column: str):
 
 def digest(spans: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return spans.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+    return spans.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)], F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -304,36 +313,61 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redact(batches: Iterator[pa.RecordBatch], patterns: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _spans_by(found: Mentions, kind_of: dict[int, int]) -> list[list[tuple[int, int, int]]]:
+    """For each text what stands in the slots of the patterns."""
+    out, at = [], 0
+    before, after = found.before.tolist(), found.after.tolist()
+    for n in found.sizes:
+        spans = []
+        for k in range(at, at + n):
+            if not 0 <= found.k[k] < SECRET and (hit := [kind_of[p] for p in (before[k], after[k]) if p in kind_of]):
+                spans.append((min(hit), found.s[k], found.e[k]))
+        out.append(spans)
+        at += n
+    return out
+
+
+def _redact(batches: Iterator[pa.RecordBatch], patterns: np.ndarray, kinds: np.ndarray, name: str, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Adds what a block of patterns finds to the column ``name``; the last block masks the texts instead."""
     kind_of = dict(zip(patterns.tolist(), kinds.tolist(), strict=True))
     for batch in batches:
-        place = batch.schema.get_field_index("text")
-        out = []
-        for text in batch.column(place).to_pylist():
-            if text:
-                spans = base_spans(text)
-                if kind_of:
-                    found = [m for m in mentions_of(text, spans) if m[0] < 0]
-                    ids = zip(_pattern_ids([m[3] for m in found], 0), _pattern_ids([m[4] for m in found], 1), strict=True)
-                    for m, pair in zip(found, ids, strict=True):
-                        if hit := [kind_of[p] for p in pair if p in kind_of]:
-                            spans.append((min(hit), m[1], m[2]))
-                text = mask(text, spans) if spans else text
-            out.append(text)
-        yield batch.set_column(place, batch.schema.field(place), pa.array(out, pa.string()))
+        for low in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(low, SLICE_ROWS)
+            place = part.schema.get_field_index("text")
+            texts = part.column(place).to_pylist()
+            found = Mentions(texts)
+            spans = _spans_by(found, kind_of)
+            if not first:
+                at = part.schema.get_field_index(name)
+                spans = [[*a, *((x["k"], x["s"], x["e"]) for x in b)] for a, b in zip(spans, part.column(at).to_pylist(), strict=True)]
+                part = pa.RecordBatch.from_arrays([c for k, c in enumerate(part.columns) if k != at], schema=part.schema.remove(at))
+            if last:
+                masked = [mask(t, [*base, *more]) if base or more else t for t, base, more in zip(texts, found.base, spans, strict=True)]
+                yield part.set_column(place, part.schema.field(place), pa.array(masked, pa.string()))
+            else:
+                flat = [x for more in spans for x in more]
+                yield part.append_column(name, _list_of([(f, [x[k] for x in flat]) for k, f in enumerate(_SPAN)], [len(x) for x in spans]))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans that extract() finds masked by their kind; other columns as they are.
 
-    Confident patterns go to the tasks in blocks; usually there is one block or none.
+    Null, empty, repeated and very long texts and empty tables are as in extract(). Confident
+    patterns go to the tasks in blocks; usually there is one block or none. Each block looks
+    at the texts as they came, and the last one masks what all have found.
     """
     work = Work(docs.sparkSession, "redact")
     confident = learn(docs, find(docs, work), work)
     n = confident.count()
     parts = max(1, -(-n // BLOCK_PATTERNS))
+    name = "_spans"
+    while name in docs.columns:
+        name = f"_{name}"
+    schema = docs.schema
+    more = T.StructType([*schema.fields, T.StructField(name, T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "kse"])))])
     for part in range(parts):
         rows = confident.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect()
         sent = docs.sparkSession.sparkContext.broadcast((np.array([r.pattern for r in rows], np.int64), np.array([r.k for r in rows], np.int64)))
-        docs = docs.mapInArrow(trimmed(lambda b, sent=sent: _redact(b, *sent.value)), docs.schema)
+        ends = part == 0, part == parts - 1
+        docs = docs.mapInArrow(trimmed(lambda b, sent=sent, ends=ends: _redact(b, *sent.value, name, *ends)), schema if ends[1] else more)
     return docs

@@ -1,5 +1,8 @@
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -61,3 +64,113 @@ def test_patterns_find_unseen_identifiers(spark):
     got = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs)).collect()}
     assert got[100] == "email:18:33" and got[101] == "" and got[300] == ""
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[100] == "again write me at <EMAIL> please now"
+
+
+def brute_spans(texts):
+    """The method with plain Python: contexts are texts, the graph is a few dictionaries."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mentions, slots = [], Counter()
+    for n, text in enumerate(texts):
+        base = plain(text or "")
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+        folded = [w[0].translate(fold) for w in words]
+        for pair in zip(folded, folded[1:]):
+            slots[(0, *pair)] += 1
+            slots[(1, *pair)] += 1
+        places = [(k, s, e) for k, s, e in base]
+        for w in words:
+            inner = w[0].strip(pii.OUTER)
+            s = w.start() + len(w[0]) - len(w[0].lstrip(pii.OUTER))
+            if len(inner) >= pii.LEAST_CHARS and re.search("[0-9@]", inner) and not any(a < s + len(inner) and s < b for _, a, b in base):
+                secret = re.fullmatch("[0-9A-Fa-f]{32,}", inner) and re.search("[0-9]", inner) and re.search("[A-Fa-f]", inner)
+                places.append((4 if secret else -1, s, s + len(inner)))
+        for k, s, e in places:
+            i = next(i for i, w in enumerate(words) if w.start() <= s < w.end())
+            j = next(j for j, w in enumerate(words) if w.start() <= e - 1 < w.end())
+            patterns = [(0, *folded[i - 2 : i])] if i >= 2 else []
+            patterns += [(1, *folded[j + 1 : j + 3])] if j + 2 < len(words) else []
+            mentions.append((n, k, s, e, patterns, text[s:e].lower()))
+    edges = Counter((p, inst, k) for _, k, _, _, patterns, inst in mentions for p in patterns)
+    seeds, filled = Counter(), Counter()
+    for (p, _, k), n in edges.items():
+        filled[p] += n
+        seeds[p, k] += k >= 0
+    able = [(p, k) for (p, k), n in seeds.items() if k >= 0 and n >= pii.LEAST_SEEDS and filled[p] >= pii.CONFIDENT * (slots[p] + 1)]
+    sure = Counter()
+    for (p, _, k), n in edges.items():
+        sure[p, k] += n if k >= 0 else 0
+    score = {}
+    for turn in range(pii.ROUNDS):
+        known = defaultdict(float)
+        for (p, inst, k), _ in edges.items():
+            for kind in range(5):
+                if k < 0 and (p, kind) in score:
+                    known[inst, kind] += math.log1p(-min(score[p, kind], 0.999))
+        mass = Counter(sure)
+        for (p, inst, k), n in edges.items():
+            for kind in range(5):
+                if k < 0 and turn and (inst, kind) in known:
+                    mass[p, kind] += n * (1 - math.exp(known[inst, kind]))
+        score = {(p, k): mass[p, k] / (slots[p] + 1) for p, k in able}
+    best = {}
+    for (p, k), x in score.items():
+        if x >= pii.CONFIDENT and (p not in best or (x, -k) > best[p][0]):
+            best[p] = ((x, -k), k)
+    out = [list(plain(t or "")) for t in texts]
+    for n, k, s, e, patterns, _ in mentions:
+        kinds = [best[p][1] for p in patterns if p in best]
+        if kinds and not 0 <= k < 4:
+            out[n].append((min(kinds), s, e))
+    return [",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(x)) for x in out], best
+
+
+def corpus():
+    r = random.Random(8)
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(r.choice("abcd") for _ in range(2))
+    texts = []
+    for k in range(240):
+        words = [word() for _ in range(r.randint(3, 30))]
+        at = r.randint(0, len(words))
+        what = [["write", "to", f"{word()}{k}@{word()}.com", "or", "else"], ["Token", "=", f'"{hexes()}"'], ["call", "me", "+1 (017) 555-77" + str(10 + k % 80)], ["token", "=", f'"pw-{k}x"'], ["write", "to", f"root{k % 3}@localhost"], [hexes()], ["host", "at", f"10.0.{k}.7,"]][k % 7]
+        if k % 7 != 3 or k % 28 == 3:
+            words[at:at] = what
+        texts.append(" ".join(words))
+    return [*texts, None, "", "1.2.3.4," * 300, texts[0], texts[0]]
+
+
+def test_scoring_against_plain_python(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, best = brute_spans(texts)
+    assert {k for _, k in best.values()} >= {0, 2 + 2}
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert sum(x.count("secret") for x in want) > 30 and any("email" in w and "@localhost" in (t or "") for w, t in zip(want, texts))
+
+
+def test_redact_masks_what_extract_finds_in_any_number_of_blocks(spark, monkeypatch):
+    texts = corpus()
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, _spans long")
+    spans = {r.doc_id: [(x.k, x.s, x.e) for x in r.spans] for r in pii.extract(docs).collect()}
+    want = [pii.mask(t, spans[k]) if t else t for k, t in enumerate(texts)]
+    for size in (pii.BLOCK_PATTERNS, 2):
+        monkeypatch.setattr(pii, "BLOCK_PATTERNS", size)
+        masked = pii.redact(docs)
+        assert masked.columns == docs.columns
+        assert [r.text for r in masked.orderBy("doc_id").collect()] == want
+
+
+def test_secrets_of_a_test_table_are_discovered(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pii.digest(pii.extract(docs)).filter("spans like '%secret:%'")
+    held = docs.filter(F.col("text").rlike('token = "[0-9a-f]{40}"'))
+    assert got.count() == held.count() > 5
+    assert pii.redact(docs).filter(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+
+
+def test_long_words_take_linear_time():
+    began = time.perf_counter()
+    for text in ("1.2.3.4," * 131_072, "a1@b.c;" * 100_000 + " x y", "9" * 1_000_000, " ".join(["q" * 100_000, "r" * 100_000, *["7" * 50] * 2000])):
+        pii.Mentions([text])
+    assert time.perf_counter() - began < 20
