@@ -3,10 +3,15 @@
 Equal vectors of a label are one class. The classes of a label are dealt to shards of
 bounded size; each shard gets a hierarchical graph. Every shard is queried with the
 classes of every shard of its label: a beam finds a query's surroundings, and from
-there all neighbours above the threshold are walked. An audit compares some queries with
-an exhaustive search; where it misses links the beam and the walk's margin are widened
-and the block is queried again, exhaustively in the end. Cosines are verified in double
-precision. Numpy carries all queries of a block through the graph at once.
+there all neighbours above the threshold are walked. An audit compares some queries, and
+queries planted at the threshold beside the graph's own nodes, with an exhaustive search;
+where it misses links the beam and the walk's margin are widened and the block is queried
+again, exhaustively in the end. Cosines are verified in double precision. Numpy carries
+all queries of a block through the graph at once.
+
+Graphs and blocks of queries meet in tiles: a task holds the graphs of TILE shards and
+takes the queries of TILE shards past them, so each is shuffled once a tile, not once a
+pair of shards.
 """
 
 from __future__ import annotations
@@ -25,11 +30,15 @@ from .components import components
 THRESHOLD = 0.93
 #: Classes of a shard on average; links of a node above the ground and on it; beams; queries audited.
 SHARD_ROWS = 4096
-LINKS, GROUND_LINKS, BUILD_BEAM, BEAM, AUDITED = 12, 24, 48, 32, 256
+LINKS, GROUND_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 32
+#: Queries of a block that an audit looks up, and those that it plants, so that no audit is without links.
+AUDITED, PLANTED = 512, 256
 #: Share of the audited links that must be found, and how far below the threshold the walk goes at first.
-AUDIT_RECALL, MARGIN = 0.995, 0.03
+AUDIT_RECALL, MARGIN = 0.999, 0.05
+#: Shards whose graphs a task holds at once.
+TILE = 8
 STRIDE, BATCH, QUERIES, WALK_PAIRS = 4, 128, 256, 1 << 20
-SHARD = "label string, dim int, shard int, n int, ids binary, copies binary, vectors binary, top int, entry int, levels array<binary>"
+SHARD = "label string, dim int, shard int, n int, ids binary, copies binary, vectors binary, entry int, levels array<binary>"
 FOUND = "a long, b long, n long"
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -280,13 +289,42 @@ def walk(g: Graph, q: np.ndarray, threshold: float, width: int, margin: float, i
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
-def block_links(g: Graph, x: np.ndarray, q: np.ndarray, q_ids: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (query, node) of a block; of a shard with itself each pair once."""
+def planted(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, nodes): beside some nodes a query each, at a cosine just above the threshold."""
+    r = np.random.default_rng(len(x))
+    nodes = np.arange(len(x)) if len(x) <= PLANTED else np.sort(r.choice(len(x), PLANTED, replace=False))
+    aside = r.standard_normal((len(nodes), x.shape[1]))
+    aside -= (aside * x[nodes]).sum(1, keepdims=True) * x[nodes]
+    size = np.sqrt((aside * aside).sum(1, keepdims=True))
+    near = min(1.0, threshold + 0.002)
+    q = near * x[nodes] + (1 - near * near) ** 0.5 * np.where(size > 1e-9, aside / np.maximum(size, 1e-9), 0)
+    return q / np.sqrt((q * q).sum(1, keepdims=True)), nodes
+
+
+def _verified(x: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that double precision confirms, looked at a block at a time."""
+    parts = [np.einsum("ij,ij->i", q[a[k : k + WALK_PAIRS]], x[b[k : k + WALK_PAIRS]]) >= threshold for k in range(0, max(1, len(a)), WALK_PAIRS)]
+    true = np.concatenate(parts)
+    return a[true], b[true]
+
+
+def block_links(g: Graph, x: np.ndarray, q: np.ndarray, q_ids: np.ndarray, same: bool, threshold: float, audits: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (query, node) of a block; of a shard with itself each pair once.
+
+    ``audits`` takes a row for every audit: beam, links wanted, links found.
+    """
     audit = np.argsort(q_ids * 2654435761 % 4294967291, kind="stable")[:AUDITED]
     exact = q[audit] @ x.T >= threshold
     if same:
         exact[np.arange(len(audit)), audit] = False
-    wanted = int(exact.sum())
+    rows, nodes = np.nonzero(exact)
+    rows = audit[rows]
+    if same:
+        rows, nodes = np.minimum(rows, nodes), np.maximum(rows, nodes)
+    real = rows * len(x) + nodes
+    probes, _ = planted(x, threshold)
+    probe_rows, probe_nodes = np.nonzero(probes @ x.T >= threshold)
+    sown = probe_rows * len(x) + probe_nodes
     width, margin = BEAM, MARGIN
     while True:
         if width >= len(x):
@@ -297,33 +335,38 @@ def block_links(g: Graph, x: np.ndarray, q: np.ndarray, q_ids: np.ndarray, same:
                 found_x.append(b)
             a, b = np.concatenate(found_q), np.concatenate(found_x)
         else:
-            a, b = walk(g, q.astype(np.float32), threshold, width, margin, same)
-            # double precision decides, a block of pairs at a time
-            true = np.concatenate([np.einsum("ij,ij->i", q[a[k : k + WALK_PAIRS]], x[b[k : k + WALK_PAIRS]]) for k in range(0, max(1, len(a)), WALK_PAIRS)]) >= threshold
-            a, b = a[true], b[true]
+            a, b = _verified(x, q, *walk(g, q.astype(np.float32), threshold, width, margin, same), threshold)
         if same:
             a, b = np.minimum(a, b), np.maximum(a, b)
             key = np.unique((a * len(x) + b)[a != b])
             a, b = key // len(x), key % len(x)
-        if width >= len(x) or not wanted:
+        if width >= len(x):
             return a, b
-        pairs = set((a * len(x) + b).tolist())
-        rows, nodes = np.nonzero(exact)
-        rows = audit[rows]
-        if same:
-            rows, nodes = np.minimum(rows, nodes), np.maximum(rows, nodes)
-        if sum(k in pairs for k in (rows * len(x) + nodes).tolist()) >= AUDIT_RECALL * wanted:
+        hits = np.isin(real, a * len(x) + b).sum()
+        pa_, pb_ = _verified(x, probes, *walk(g, probes.astype(np.float32), threshold, width, margin), threshold)
+        probed = np.isin(sown, pa_ * len(x) + pb_).sum()
+        if audits is not None:
+            audits.append((width, len(real) + len(sown), int(hits + probed)))
+        if hits >= AUDIT_RECALL * len(real) and probed >= AUDIT_RECALL * len(sown):
             return a, b
         width, margin = width * 4, margin + 0.05
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("id")
-    x = unit(np.array(rows["embedding"].tolist(), np.float64))
+    raw = np.array(rows["embedding"].tolist(), np.float64)
     ids = rows["id"].to_numpy(np.int64)
-    g = build(x.astype(np.float32), ids)
+    g = build(unit(raw).astype(np.float32), ids)
+    # single precision where it holds the elements exactly
+    narrow = raw.astype(np.float32, copy=True) if np.abs(raw).max() < 3e38 else raw
+    stored = narrow if (narrow == raw).all() else raw
     one = rows.iloc[0]
-    return pd.DataFrame([{"label": one["label"], "dim": one["dim"], "shard": one["shard"], "n": len(rows), "ids": ids.tobytes(), "copies": rows["copies"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "top": len(g.levels) - 1, "entry": g.entry, "levels": [t.tobytes() for t in g.levels]}])
+    return pd.DataFrame([{"label": one["label"], "dim": one["dim"], "shard": one["shard"], "n": len(rows), "ids": ids.tobytes(), "copies": rows["copies"].to_numpy(np.int64).tobytes(), "vectors": stored.tobytes(), "entry": g.entry, "levels": [t.tobytes() for t in g.levels]}])
+
+
+def _vectors(data: bytes, n: int, dim: int) -> np.ndarray:
+    """Unit vectors of a shard, stored in single or double precision."""
+    return unit(np.frombuffer(data, np.float32 if len(data) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,49 +391,74 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _query(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Of each pair of shards: links as (a, b, null), and for each class the copies it is linked with as (id, null, n)."""
+    """Of each tile, its graphs first: links as (a, b, null), and for each class the copies it is linked with as (id, null, n)."""
+    tile, graphs = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-            copies, q_copies = np.frombuffer(r["copies"], np.int64), np.frombuffer(r["q_copies"], np.int64)
-            x, q = (np.frombuffer(r[c], np.float64).reshape(len(k), -1) for c, k in (("vectors", ids), ("q_vectors", q_ids)))
-            levels = [np.frombuffer(t, np.int32).reshape(len(ids), -1).astype(np.int64) for t in r["levels"]]
-            g = Graph(x.astype(np.float32), levels, r["entry"])
-            a, b = block_links(g, x, q, q_ids, r["shard"] == r["q_shard"], threshold)
-            n = np.concatenate([np.bincount(a, copies[b], len(q_ids)), np.bincount(b, q_copies[a], len(ids))]).astype(np.int64)
-            who = np.concatenate([q_ids, ids])
-            linked = np.flatnonzero(n)
-            root, other = _forest(q_ids[a], ids[b]) if len(a) else (np.empty(0, np.int64),) * 2
-            none_l, none_n = [None] * len(root), [None] * len(linked)
-            yield pa.RecordBatch.from_arrays([pa.array([*root.tolist(), *who[linked].tolist()], pa.int64()), pa.array([*other.tolist(), *none_n], pa.int64()), pa.array([*none_l, *n[linked].tolist()], pa.int64())], schema=_FOUND)
-
-
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+        for k in range(batch.num_rows):
+            r = {f.name: batch.column(i)[k].as_py() for i, f in enumerate(batch.schema)}
+            if r["tile"] != tile:
+                tile, graphs = r["tile"], []
+            ids, copies = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64)
+            x = _vectors(r["vectors"], len(ids), r["dim"])
+            if r["levels"] is not None:
+                levels = [np.frombuffer(t, np.int32).reshape(len(ids), -1).astype(np.int64) for t in r["levels"]]
+                graphs.append((r["shard"], ids, copies, x, Graph(x.astype(np.float32), levels, r["entry"])))
+                continue
+            for shard, g_ids, g_copies, g_x, g in graphs:
+                if shard > r["shard"]:
+                    continue
+                a, b = block_links(g, g_x, x, ids, shard == r["shard"], threshold)
+                n = np.concatenate([np.bincount(a, g_copies[b], len(ids)), np.bincount(b, copies[a], len(g_ids))]).astype(np.int64)
+                who = np.concatenate([ids, g_ids])
+                linked = np.flatnonzero(n)
+                root, other = _forest(ids[a], g_ids[b]) if len(a) else (np.empty(0, np.int64),) * 2
+                none_l, none_n = [None] * len(root), [None] * len(linked)
+                yield pa.RecordBatch.from_arrays([pa.array([*root.tolist(), *who[linked].tolist()], pa.int64()), pa.array([*other.tolist(), *none_n], pa.int64()), pa.array([*none_l, *n[linked].tolist()], pa.int64())], schema=_FOUND)
+
+
+def _tiles(shards: DataFrame, per: DataFrame, tile: int) -> DataFrame:
+    """Rows of every tile (i, j), i <= j, of a label: graphs of the shards of part i, then queries of the shards of part j.
+
+    A shard goes as a graph to the tiles of its row and as queries to those of its column.
+    Labels of few shards have smaller tiles, so that there are enough of them to share out.
+    """
+    side = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.col("shards") / 8)))
+    part = F.floor(F.col("shard") / side).cast("int")
+    last = F.floor((F.col("shards") - 1) / side).cast("int")
+    known = shards.join(per, ["label", "dim"])
+    name = lambda i, j: F.concat_ws(":", F.length("label").cast("string"), "label", F.col("dim").cast("string"), i.cast("string"), j.cast("string"))
+    columns = ["dim", "shard", "ids", "copies", "vectors"]
+    graphs = known.withColumn("j", F.explode(F.sequence(part, last))).select(name(part, F.col("j")).alias("tile"), F.lit(0).alias("role"), *columns, "entry", "levels")
+    queries = known.withColumn("i", F.explode(F.sequence(F.lit(0), part))).select(name(F.col("i"), part).alias("tile"), F.lit(1).alias("role"), *columns, F.lit(None).cast("int").alias("entry"), F.lit(None).cast("array<binary>").alias("levels"))
+    return graphs.unionByName(queries).repartition("tile").sortWithinPartitions("tile", "role", "shard")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Rows of equal label and dimension are linked where the cosine is at least ``threshold``;
     component_id is the smallest vec_id that links reach, its own included. Rows with a null
     label, and vectors that are null, empty, zero or hold null or non-finite numbers, are
     linked with nothing: n_links 0, component their own vec_id. Equal vectors are linked,
-    whatever their vec_ids; rows that repeat a vec_id count as rows. No rows give no rows.
+    whatever their vec_ids; rows that repeat a vec_id count as rows. No rows give no rows;
+    other columns, whatever their names, don't matter.
     """
     work = Work(vectors.sparkSession, "vectors")
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     good = good & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0)
     label = F.col("label").cast("string")
-    key = F.md5(F.concat_ws(",", label, F.col("embedding").cast("array<string>")))
+    # the label's length comes first: no label can look like a shorter one and an element
+    key = F.md5(F.concat_ws(",", F.length(label).cast("string"), label, F.col("embedding").cast("array<string>")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), "embedding", F.when(F.coalesce(good, F.lit(False)), key).alias("key"))
     rows = work.keep(rows, "rows")
     classes = rows.filter("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = work.keep(classes.withColumns({"id": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "classes")
-    per = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    per = work.keep(classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "sizes")
     dealt = classes.join(per, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
     shards = dealt.select("id", "label", "dim", "shard", "copies", "embedding").groupBy("label", "dim", "shard").applyInPandas(_build, SHARD)
     shards = work.keep(shards, "shards")
-    other = shards.select("label", "dim", F.col("shard").alias("q_shard"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "copies", "vectors")])
-    pairs = shards.join(other, ["label", "dim"]).filter("q_shard >= shard").repartition("label", "dim", "shard", "q_shard")
-    found = work.keep(pairs.mapInArrow(lambda x: _query(x, threshold), FOUND), "found")
+    found = work.keep(_tiles(shards, per, tile).mapInArrow(lambda x: _query(x, threshold), FOUND), "found")
     known = components(found.filter("b is not null").select("a", "b"), work)
     count = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     named = classes.select("id", "key", "first", "copies").join(known, "id", "left").join(count, "id", "left")

@@ -57,6 +57,7 @@ def test_links_and_components(spark):
     want = brute(rows)
     agree(hnsw.near_vectors(vectors).collect(), want)
     agree(hnsw.near_vectors(vectors, shard_rows=120).collect(), want)
+    agree(hnsw.near_vectors(vectors, shard_rows=20, tile=3).collect(), want)
     assert hnsw.near_vectors(vectors.limit(0)).count() == 0
 
 
@@ -77,3 +78,27 @@ def test_an_audit_that_fails_widens(monkeypatch):
     g.levels[0][:] = -1  # a graph without links finds nothing
     a, b = hnsw.block_links(g, x, x, np.arange(400), True, 0.7)
     assert len(a) == int((np.triu(x @ x.T, 1) >= 0.7).sum())
+
+
+def test_labels_with_commas_are_not_mixed_up(spark):
+    rows = [(1, [1.0, 2.0], "x"), (2, [2.0], "x,1.0"), (3, [2.0], "1,x,1.0"), (4, [1.0, 2.0], "x"), (5, [4.0], "x,1.0")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (0, 3), 4: (1, 1), 5: (1, 2)}
+
+
+def test_no_audit_is_empty_and_links_that_none_sampled_are_found(monkeypatch):
+    r = np.random.default_rng(6)
+    for dim in (2, 64, 300):
+        x, q = (hnsw.unit(r.standard_normal((2000, dim))) for _ in range(2))
+        where = r.permutation(2000)[:40]
+        q[where] = hnsw.unit(x[where] + 0.2 / dim**0.5 * r.standard_normal((40, dim)))
+        g = hnsw.build(x.astype(np.float32), np.arange(2000))
+        monkeypatch.setattr(hnsw, "AUDITED", 0)
+        audits = []
+        a, b = hnsw.block_links(g, x, q, np.arange(2000), False, 0.93, audits)
+        exact = int((q @ x.T >= 0.93).sum())
+        assert audits and all(wanted >= hnsw.PLANTED for _, wanted, _ in audits)
+        assert audits[-1][2] >= hnsw.AUDIT_RECALL * audits[-1][1] or audits[-1][0] * 4 >= 2000
+        assert len(a) >= 0.999 * exact > 30
+    one = np.ones((3, 1))
+    assert len(hnsw.planted(one, 0.93)[0]) == 3 and np.isfinite(hnsw.planted(one, 0.93)[0]).all()
