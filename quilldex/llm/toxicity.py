@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work
@@ -97,20 +97,41 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(w)], schema=_WEIGHTS)
 
 
+def lowest(known: DataFrame, label: int, most: int) -> DataFrame:
+    """Of the rows of a label the ``most`` with the lowest ``order``, ties by doc_id.
+
+    Orders are hashes: a limit on them, from the label's count, leaves about twice as many
+    rows to sort whatever the table's size, and is raised until it leaves enough.
+    """
+    rows = known.filter(F.col("label") == label)
+    n, share = rows.count(), 2.0
+    while share * most < n:
+        below = rows.filter(F.col("order") <= int(-(1 << 63) + share * most / n * (1 << 64)))
+        if below.count() >= most:
+            rows = below
+            break
+        share *= 2
+    return rows.orderBy("order", "doc_id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, work: Work) -> tuple[np.ndarray, np.ndarray]:
     """Weights from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both restricted to what may be learnt.
 
-    The sample: per label the rows with the lowest hashes of their doc_id, at most MOST_TOXIC
-    and MOST_CLEAN, texts up to MOST_BYTES. Only this sample comes to one task.
+    The sample: per label the rows with the lowest hashes of their doc_id, ties by doc_id, at
+    most MOST_TOXIC and MOST_CLEAN, texts up to MOST_BYTES; only this sample comes to one
+    task. Null doc_ids and labels other than 0 and 1 don't count, nor do null and longer
+    texts. A label that repeats counts once, a doc_id with both labels once for each; of the
+    texts of a repeated doc_id the first in order counts. Without labelled texts there are
+    no weights. Other columns, whatever their names, don't matter.
     """
     order = F.xxhash64("doc_id", F.lit(3))
-    first = F.row_number().over(Window.partitionBy("label").orderBy("order", "doc_id"))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label"), order.alias("order")).filter("label in (0, 1) and doc_id is not null").distinct()
-    chosen = known.withColumn("k", first).filter(F.col("k") <= F.when(F.col("label") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)).drop("k")
+    known = work.keep(known, "known")
+    chosen = work.keep(lowest(known, 1, MOST_TOXIC).unionByName(lowest(known, 0, MOST_CLEAN)), "chosen")
     # at most MOST_TOXIC + MOST_CLEAN rows of three numbers
     texts = docs.filter(F.octet_length("text") <= MOST_BYTES).select("doc_id", "text")
-    sample = texts.join(F.broadcast(work.keep(chosen, "chosen")), "doc_id").select("label", "order", "text")
-    packed = work.keep(sample.mapInArrow(_featurise, "label int, order long, features binary"), "features")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("label", "order", "doc_id").agg(F.min("text").alias("text"))
+    packed = work.keep(sample.select("label", "order", "text").mapInArrow(_featurise, "label int, order long, features binary"), "features")
     rows = packed.repartition(1).mapInArrow(_fit, "feature int, weight double").collect()
     return np.array([r.feature for r in rows], np.int32), np.array([r.weight for r in rows])
 
@@ -124,7 +145,12 @@ def scores_of(texts: list[bytes], dense: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, score (0 to 1) for each row of ``docs``; a text without words, null too, gets the intercept's."""
+    """doc_id, score (0 to 1) for each row of ``docs`` (doc_id, text).
+
+    A text without words, null too, gets the intercept's; without weights all get 0.5. Equal
+    texts have equal scores, repeated rows stay repeated, no rows give no rows, very long
+    texts are scored whole. Other columns, whatever their names, don't matter. One map.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights, a few thousand in practice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
