@@ -22,6 +22,8 @@ def make(spark, n=300):
 
 
 def greedy(text, labelled):
+    """Phrases by plain search; lists of classes as texts of code points."""
+    text, labelled = ("".join(chr(0x4000 + c) for c in x) for x in (text, labelled))
     count = at = 0
     while at < len(text):
         n = 1
@@ -37,17 +39,41 @@ def test_phrases_against_plain_search():
     samples = {k: " ".join("".join(r.choice(v) for _ in range(3)) for _ in range(300)) for k, v in PARTS.items()}
     parser = L.Parser(samples)
     for _ in range(40):
-        text = parser.classes(" ".join(r.choice(r.choice([*PARTS.values()])) + r.choice("zQ1é x") for _ in range(60)))[0][: L.CHUNK]
+        text = parser.classes(" ".join(r.choice(r.choice([*PARTS.values()])) + r.choice("zQ1é x") for _ in range(60)))[0]
         got = parser.phrases([text])[0]
         for k, lang in enumerate(parser.langs):
-            assert got[k] == greedy(text.tobytes(), parser.classes(samples[lang])[0].tobytes())
-
-
-def test_chunks_and_batches_agree():
-    parser = L.Parser({"en": "the and ing " * 40, "de": "sch ung ein " * 40})
-    texts = ["the and" * k for k in (1, 5, 400, 2)] + ["sch " * 3]
-    alone = [parser.predict([t])[0] for t in texts]
-    assert parser.predict(texts) == alone
+            assert got[k] == greedy(text.tolist(), parser.classes(samples[lang])[0].tolist())
+
+
+def test_chunks_and_batches_change_nothing(monkeypatch):
+    samples = {"en": "the and ing " * 40, "de": "sch ung ein " * 40, "zh": "".join(chr(0x4E00 + k * k % 700) for k in range(900)), "xx": "aab aa"}
+    r = random.Random(11)
+    texts = ["the and" * k for k in (1, 5, 400, 2)] + ["sch " * 3, "a" * 3000, "ab" * 2000, "aab" * 900 + "the", "".join(chr(0x4E00 + r.randrange(700)) for _ in range(700)), "\U00020000" * 70 + "the", "the ing " * 300]
+    want = None
+    for chunk, meet, dense in ((1 << 20, 64, 64), (1024, 64, 64), (16, 4, 64), (7, 1, 2), (64, 64, 8)):
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        monkeypatch.setattr(L, "MEET", meet)
+        monkeypatch.setattr(L, "DENSE", dense)
+        parser = L.Parser(samples)
+        got = parser.phrases([parser.classes(t)[0] for t in texts]).tolist()
+        want = want or got
+        assert got == want
+        assert parser.predict(texts) == [parser.predict([t])[0] for t in texts]
+    for k, lang in enumerate(parser.langs):
+        labelled = parser.classes(samples[lang])[0].tolist()
+        assert [row[k] for row in want] == [greedy(parser.classes(t)[0].tolist(), labelled) for t in texts]
+
+
+def test_scripts_of_many_letters():
+    r = random.Random(13)
+    scripts = {"en": (97, 26), "nl": (97, 26), "el": (0x3B1, 24), "ru": (0x430, 32), "zh": (0x4E00, 3000), "ja": (0x3041, 80), "ko": (0xAC00, 2500), "th": (0xE01, 46), "far": (0x20000, 3000)}
+    words = {lang: ["".join(chr(low + r.randrange(n)) for _ in range(r.randint(2, 5))) for _ in range(400)] for lang, (low, n) in scripts.items()}
+    more = {"zh2": ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(r.randint(2, 5))) for _ in range(400)]} | words
+    text = lambda lang, n: " ".join(r.choice(more[lang]) for _ in range(n))
+    parser = L.Parser({lang: text(lang, 4000) for lang in more})
+    test = [(lang, text(lang, 30)) for lang in more for _ in range(40)]
+    got = parser.predict([t for _, t in test])
+    assert sum(g[0] == lang for g, (lang, _) in zip(got, test, strict=True)) >= 0.99 * len(test)
 
 
 def test_held_out_accuracy_and_odd_texts(spark):
@@ -72,22 +98,35 @@ def test_filter(spark):
     assert L.keep_known(docs.limit(0), samples).count() == 0
 
 
-def test_nothing_to_learn_from(spark):
+def test_nothing_to_learn_from_and_nothing_to_predict(spark):
     docs, _ = make(spark, 9)
-    assert {r.lang_pred for r in L.predict(docs, L.sample(docs.limit(0), Work(spark, "t"))).collect()} == {"und"}
+    none = L.sample(docs.limit(0), Work(spark, "t"))
+    assert {r.lang_pred for r in L.predict(docs, none).collect()} == {"und"}
+    assert L.predict(docs.limit(0), L.sample(docs, Work(spark, "t"))).count() == 0 == L.predict(docs.limit(0), none).count()
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    rows = [(k, "ab " * 400, f"l{k % 7}") for k in range(70)] + [(1, "zz", "l1")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.sample(docs, Work(spark, "t"))["l1"].count("\n") == 9
+    monkeypatch.setattr(L, "MOST_LANGS", 3)
+    monkeypatch.setattr(L, "TOTAL_CHARS", 300)
+    got = L.sample(docs, Work(spark, "t"))
+    assert sorted(got) == ["l0", "l1", "l2"] and sum(map(len, got.values())) <= 3 * 300 + 100
 
 
 def test_automaton_reads_every_substring():
-    text = np.random.default_rng(3).integers(0, 3, 60).tolist()
-    table, _ = L.suffix_automaton(text, 3)
-
-    def reads(part):
-        at = 0
-        for c in part:
-            at = table[at * 3 + c]
-            if at < 0:
-                return False
-        return True
-
-    assert all(reads(text[i:j]) for i in range(60) for j in range(i, 61))
-    assert not reads([*text, 0])
+    text = np.random.default_rng(3).integers(0, 5, 60).tolist()
+    for width in (5, 2):
+        table, more, _ = L.suffix_automaton(text, width)
+
+        def reads(part):
+            at = 0
+            for c in part:
+                at = table[at * width + c] if c < width else more.get(at, {}).get(c, -1)  # noqa: B023
+                if at < 0:
+                    return False
+            return True
+
+        assert all(reads(text[i:j]) for i in range(60) for j in range(i, 61))
+        assert not reads([*text, 0]) and not reads([*text, 4])
