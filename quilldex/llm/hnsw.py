@@ -33,8 +33,9 @@ SHARD_ROWS = 4096
 LINKS, GROUND_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 32
 #: Queries of a block that an audit looks up, and those that it plants, so that no audit is without links.
 AUDITED, PLANTED = 512, 256
-#: Share of the audited links that must be found, and how far below the threshold the walk goes at first.
-AUDIT_RECALL, MARGIN = 0.999, 0.05
+#: Shares of the audited and of the planted links that must be found, how far below the threshold the walk goes at
+#: first, and how often beams are widened before a block is searched exhaustively, which then costs less.
+AUDIT_RECALL, PLANTED_RECALL, MARGIN, WIDENED = 0.999, 0.995, 0.05, 2
 #: Shards whose graphs a task holds at once.
 TILE = 8
 STRIDE, BATCH, QUERIES, WALK_PAIRS = 4, 128, 256, 1 << 20
@@ -311,7 +312,7 @@ def _verified(x: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, thresh
 def block_links(g: Graph, x: np.ndarray, q: np.ndarray, q_ids: np.ndarray, same: bool, threshold: float, audits: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs (query, node) of a block; of a shard with itself each pair once.
 
-    ``audits`` takes a row for every audit: beam, links wanted, links found.
+    ``audits`` takes a row for every audit: beam, links wanted and found, planted links wanted and found.
     """
     audit = np.argsort(q_ids * 2654435761 % 4294967291, kind="stable")[:AUDITED]
     exact = q[audit] @ x.T >= threshold
@@ -325,9 +326,9 @@ def block_links(g: Graph, x: np.ndarray, q: np.ndarray, q_ids: np.ndarray, same:
     probes, _ = planted(x, threshold)
     probe_rows, probe_nodes = np.nonzero(probes @ x.T >= threshold)
     sown = probe_rows * len(x) + probe_nodes
-    width, margin = BEAM, MARGIN
+    width, margin, turn = BEAM, MARGIN, 0
     while True:
-        if width >= len(x):
+        if width >= len(x) or turn > WIDENED:
             found_q, found_x = [], []
             for low in range(0, len(q), 512):
                 r, b = np.nonzero(q[low : low + 512] @ x.T >= threshold)
@@ -340,16 +341,16 @@ def block_links(g: Graph, x: np.ndarray, q: np.ndarray, q_ids: np.ndarray, same:
             a, b = np.minimum(a, b), np.maximum(a, b)
             key = np.unique((a * len(x) + b)[a != b])
             a, b = key // len(x), key % len(x)
-        if width >= len(x):
+        if width >= len(x) or turn > WIDENED:
             return a, b
         hits = np.isin(real, a * len(x) + b).sum()
         pa_, pb_ = _verified(x, probes, *walk(g, probes.astype(np.float32), threshold, width, margin), threshold)
         probed = np.isin(sown, pa_ * len(x) + pb_).sum()
         if audits is not None:
-            audits.append((width, len(real) + len(sown), int(hits + probed)))
-        if hits >= AUDIT_RECALL * len(real) and probed >= AUDIT_RECALL * len(sown):
+            audits.append((width, len(real), int(hits), len(sown), int(probed)))
+        if hits >= AUDIT_RECALL * len(real) and probed >= PLANTED_RECALL * len(sown):
             return a, b
-        width, margin = width * 4, margin + 0.05
+        width, margin, turn = width * 2, margin + 0.02, turn + 1
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:

@@ -97,8 +97,8 @@ def test_no_audit_is_empty_and_links_that_none_sampled_are_found(monkeypatch):
         audits = []
         a, b = hnsw.block_links(g, x, q, np.arange(2000), False, 0.93, audits)
         exact = int((q @ x.T >= 0.93).sum())
-        assert audits and all(wanted >= hnsw.PLANTED for _, wanted, _ in audits)
-        assert audits[-1][2] >= hnsw.AUDIT_RECALL * audits[-1][1] or audits[-1][0] * 4 >= 2000
+        assert audits and all(sown >= hnsw.PLANTED for *_, sown, _ in audits)
+        assert audits[-1][4] >= hnsw.PLANTED_RECALL * audits[-1][3] or len(audits) > hnsw.WIDENED
         assert len(a) >= 0.999 * exact > 30
     one = np.ones((3, 1))
     assert len(hnsw.planted(one, 0.93)[0]) == 3 and np.isfinite(hnsw.planted(one, 0.93)[0]).all()
