@@ -18,9 +18,11 @@ from .common import Work
 
 #: (verdict, host, path from its slash on)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+#: Ranks spread until no host gets more than TOLERANCE in a round.
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)href\s{0,9}=\s{0,9}[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s>]+)"
+#: Hosts of absolute and protocol-relative links; a page's <base> is one, which its relative links go to.
+LINK = r"(?i)href\s{0,9}=\s{0,9}[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 
 def _rest(url: Column) -> Column:
@@ -52,18 +54,22 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): pages of a host that link to another one. Absolute links only; a host's own don't count."""
+    """(src, dst, n): pages of a host that link to another one, counted once a page; a host's own don't count.
+
+    Links without a host go to the page's own, or to that of its <base>, which counts as a link itself.
+    """
     links = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER)))
     pairs = pages.filter(F.col("host") != "").select(F.col("host").alias("src"), F.explode(links).alias("dst")).filter("src != dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, work: Work, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, work: Work, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``seeds`` of the same columns over ``edges`` (src, dst, n).
 
     rank = seed + damping * sum(rank of neighbours * share of the link), trust along links and
-    distrust against them, as one edge table with a kind. Every round is one join on the
-    sending host and one sum, written to the shared folder.
+    distrust against them, as one edge table with a kind. A round sends on what the last one
+    brought: one join on the sending host and one sum, written to the shared folder. What is
+    sent shrinks by ``damping`` a round, and rounds end when no host gets more than ``tolerance``.
     """
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
     in_n = edges.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -71,10 +77,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, work: Work, damping: float = D
     back = edges.join(in_n, "dst").select(F.lit(1).alias("kind"), F.col("dst").alias("sender"), F.col("src").alias("host"), (F.col("n") / F.col("all")).alias("w"))
     both = work.keep(ahead.union(back), "edges")
     start = work.keep(seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("v")))).alias("x")).select("host", "x.kind", "x.v").filter("v > 0"), "seeds")
-    rank = start
-    for _ in range(rounds):
-        sent = both.join(rank.withColumnRenamed("host", "sender"), ["kind", "sender"]).select("kind", "host", (F.col("v") * F.col("w") * damping).alias("v"))
-        rank = work.keep(sent.unionByName(start).groupBy("kind", "host").agg(F.sum("v").alias("v")), "rank")
+    rank = new = start
+    while True:
+        sent = both.join(new.withColumnRenamed("host", "sender"), ["kind", "sender"])
+        new = work.keep(sent.groupBy("kind", "host").agg(F.sum(F.col("v") * F.col("w") * damping).alias("v")), "sent")
+        if (new.agg(F.max("v")).first()[0] or 0) <= tolerance:
+            break
+        rank = work.keep(rank.unionByName(new).groupBy("kind", "host").agg(F.sum("v").alias("v")), "rank")
     return rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("v"))), F.lit(0.0)).alias(name) for k, name in ((0, "trust"), (1, "distrust"))])
 
 
@@ -82,8 +91,10 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     """page_id, host, path, rule, verdict, trust, distrust for each row of ``pages`` (page_id, url, html).
 
     A url that is null or lacks ``://`` has empty host and path: no rule fits and no links
-    count, so it is allowed. A null html has no links. Repeated rows count in their host's
-    shares. Hosts beyond the graph have trust and distrust 0 and are allowed.
+    count, so it is allowed. A null html has no links; a very long one is searched whole.
+    Repeated rows count in their host's shares. Hosts beyond the graph have trust and distrust
+    0 and are allowed. Of rules of equal length the first listed wins. No rows give no rows;
+    other columns, whatever their names, don't matter.
     """
     work = Work(pages.sparkSession, "urls")
     ruled = with_rules(pages.select("page_id", "url", "html"), rules)
@@ -99,19 +110,14 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
-def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
-    """The same in SQL, the rounds written out."""
+def oracle(rules=RULES, damping: float = DAMPING, rounds: int = 100, threshold: float = THRESHOLD) -> str:
+    """The same in SQL; a hundred rounds leave less than the tolerance."""
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1] + r[2]}'" for r in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in ordered) + " END"
-    ranks = "\n".join(
-        f"""r{k} AS (SELECT kind, host, sum(v) AS v FROM (
-  SELECT e.kind, e.host, r.v * e.w * {damping} AS v FROM edges e JOIN r{k - 1} r ON r.kind = e.kind AND r.host = e.sender UNION ALL SELECT * FROM r0) GROUP BY kind, host),"""
-        for k in range(1, rounds + 1)
-    )
     return rf"""
-WITH rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 ruled AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM parsed),
@@ -119,15 +125,18 @@ seeds AS (
   SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust, avg(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust
   FROM ruled WHERE host <> '' GROUP BY host),
 found AS (
-  SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s{{0,9}}=\s{{0,9}}["'']?[a-z][a-z0-9+.-]*://([^/?#"''\s>]+)', 1)), '{UPPER}', '{LOWER}') AS dst
+  SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s{{0,9}}=\s{{0,9}}["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), '{UPPER}', '{LOWER}') AS dst
   FROM ruled WHERE host <> ''),
 links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> dst GROUP BY src, dst),
 edges AS (
   SELECT 0 AS kind, src AS sender, dst AS host, n / sum(n) OVER (PARTITION BY src) AS w FROM links
   UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
 r0 AS (SELECT 0 AS kind, host, trust AS v FROM seeds WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM seeds WHERE distrust > 0),
-{ranks}
-ranks AS (SELECT host, sum(v) FILTER (kind = 0) AS trust, sum(v) FILTER (kind = 1) AS distrust FROM r{rounds} GROUP BY host)
+sent AS (
+  SELECT 0 AS k, kind, host, v FROM r0
+  UNION ALL
+  SELECT k + 1, e.kind, e.host, sum(s.v * e.w * {damping}) FROM sent s JOIN edges e ON e.kind = s.kind AND e.sender = s.host WHERE k < {rounds} GROUP BY k, e.kind, e.host),
+ranks AS (SELECT host, sum(v) FILTER (kind = 0) AS trust, sum(v) FILTER (kind = 1) AS distrust FROM sent GROUP BY host)
 SELECT page_id, p.host, path, rule,
   coalesce(by_rule, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled p LEFT JOIN ranks r ON r.host = p.host
