@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits for a digest, probes, and the most bits of a filter (16 MB): beyond, more rows pass, none is lost.
 BITS_EACH, PROBES, LEAST_BITS, MOST_BITS = 16, 4, 1 << 16, 1 << 27
@@ -65,15 +66,15 @@ def may_hold(bits: np.ndarray, digests: list[bytes | None]) -> np.ndarray:
     return hit & np.fromiter((d is not None for d in digests), bool, len(digests))
 
 
-def sift(rows: DataFrame, column: str, bits) -> DataFrame:
-    """``rows`` without those whose digest is not in the filter (broadcast); a map, no shuffle."""
+def with_hits(rows: DataFrame, column: str, bits) -> DataFrame:
+    """Adds ``hit``: whether the filter (broadcast) may hold a row's digest; a map, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = may_hold(bits.value, batch.column(batch.schema.get_field_index(column)).to_pylist())
-            yield batch.filter(pa.array(hit))
+            yield batch.append_column("hit", pa.array(hit, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("hit", T.BooleanType())]))
 
 
 def sent(digests: DataFrame, column: str, n: int):

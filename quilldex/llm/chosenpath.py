@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import bloom
 from .common import Work, trimmed
@@ -370,7 +370,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     packed, alone = rows.select("row", "doc_id", "digest"), None
     if (n := plan.count()) > PICK:
         # what the filter does not hold is in no such class and stays as it is; only the rest meets the plan
-        told = _with_hits(packed, bloom.sent(plan, "of", n))
+        told = bloom.with_hits(packed, "digest", bloom.sent(plan, "of", n))
         packed, alone = told.filter("hit"), told.filter("not hit").select("row.*")
     joined = packed.join(plan, F.col("digest") == F.col("of"), "left").filter("of is null or (wins and doc_id <=> first)")
     out = joined.filter("of is null or again = 1").select("row.*")
@@ -380,17 +380,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out if alone is None else out.unionByName(alone)
 
 
-def _with_hits(rows: DataFrame, bits) -> DataFrame:
-    """Adds ``hit``: whether the filter may hold a row's digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = bloom.may_hold(bits.value, batch.column(batch.schema.get_field_index("digest")).to_pylist())
-            yield batch.append_column("hit", pa.array(hit))
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
-
-
 def _sets_of(rows: DataFrame, family: DataFrame, width: int) -> DataFrame:
     """(id, n, data) of the classes in families.
 

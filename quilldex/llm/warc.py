@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import Work
 
 # Fixed values of the Zstandard seekable format and of WARC 1.1
@@ -34,6 +35,8 @@ FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 1 << 20
 #: Smaller payloads are always stored, as a revisit would hardly be shorter.
 REVISIT_BYTES = 1000
+#: Repeated payloads up to which Spark alone chooses their join with the pages; beyond, a Bloom filter keeps other pages out of it.
+PICK = 1_000_000
 ARCHIVE = "bundle string, data binary, ids array<string>, frames array<int>, offsets array<long>, lengths array<long>"
 RECORDS = "record_id string, page_id long, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _ARCHIVE = pa.schema([("bundle", pa.string()), ("data", pa.binary()), ("ids", pa.list_(pa.string())), ("frames", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
@@ -194,21 +197,30 @@ def write_archive(pages: DataFrame, work: Work, least: int = REVISIT_BYTES) -> D
     Of records with equal payloads of at least ``least`` bytes, the one with the largest
     page_id is a response, the others are revisits without payload. A null html is an
     empty payload; a null page_id sorts below all others. Rows that repeat the largest
-    page_id are responses all. No rows give no bundles.
+    page_id are responses all. No rows give no bundles; other columns, whatever their names,
+    don't matter. A very long payload is one record in a frame of its own, in memory whole in
+    the tasks that write and read it. Pages are shuffled only where their payload repeats and
+    Spark finds the table of repeated payloads too large to broadcast.
     """
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
     rows = pages.select("page_id", "url", "html", size.alias("payload_bytes"), F.sha1(F.coalesce("html", F.lit(""))).alias("payload_digest"))
     # one row per payload that repeats; partial sums leave little of a hot payload to shuffle
     copies = rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
     copies = work.keep(copies.filter("n > 1 and first_id is not null").drop("n"), "copies")
-    joined = rows.join(copies, F.col("payload_digest") == F.col("digest"), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    judged = joined.select(
+    columns = [
         "page_id", "url", "payload_bytes", "payload_digest",
         F.when(again, F.lit(None)).otherwise(F.col("html")).alias("html"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first_id")).alias("refers_to"),
-    )
+    ]
+    alone = None
+    if (n := copies.count()) > PICK:
+        bits = bloom.sent(copies.select(F.unhex("digest").alias("digest")), "digest", n)
+        told = bloom.with_hits(rows.withColumn("raw", F.unhex("payload_digest")), "raw", bits)
+        rows, alone = told.filter("hit"), told.filter("not hit").withColumn("first_id", F.lit(None).cast("long")).select(columns)
+    judged = rows.join(copies, F.col("payload_digest") == F.col("digest"), "left").select(columns)
+    judged = judged if alone is None else judged.unionByName(alone)
     bundles = judged.mapInArrow(_write, ARCHIVE)
     path = f"{work.root}/archive"
     bundles.write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)

@@ -24,7 +24,7 @@ def expected(rows):
 
 ROWS = [
     *[(k, f"http://h/{k}\r\nX: y", "é" * (400 + k % 3 * 100)) for k in range(40)], (50, None, None), (51, "u", ""), (None, "u", "é" * 500), (None, "u", "z" * 2000),
-    (60, "u", "z" * 2000), (60, "u", "z" * 2000), (61, "u", "y" * 999), (62, "u", "y" * 999), (70, "u", "long\r\n\r\nWARC/1.1\r\n" * 30_000),
+    (60, "u", "z" * 2000), (60, "u", "z" * 2000), (61, "u", "y" * 999), (62, "u", "y" * 999), (63, "u", "y" * 999), (63, "u", "y" * 999), (70, "u", "long\r\n\r\nWARC/1.1\r\n" * 30_000),
 ]
 
 
@@ -40,6 +40,11 @@ def test_round_trip_and_revisits(spark):
     assert bytes(payloads[70]) == ROWS[-1][2].encode()
 
 
+def test_many_repeated_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PICK", 1)
+    assert read(warc.write_archive(spark.createDataFrame(ROWS, SCHEMA), Work(spark, "t"))) == expected(ROWS)
+
+
 def test_empty_table(spark):
     assert warc.read_archive(warc.write_archive(spark.createDataFrame([], SCHEMA), Work(spark, "t"))).count() == 0
 
