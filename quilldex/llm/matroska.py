@@ -249,7 +249,9 @@ def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (a Matroska file) for each row of ``docs`` (doc_id, text).
 
     The samples are the text's UTF-8 and zeros up to a positive multiple of 64; a null or
-    empty text is 64 zeros. Equal texts give equal files.
+    empty text is 64 zeros. Equal texts give equal files, rows that repeat a doc_id a file
+    each, no rows no files. A very long text is one file, in memory whole in the tasks that
+    write and read it. Other columns, whatever their names, don't matter.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mux, "doc_id long, n_bytes long, media binary")
 

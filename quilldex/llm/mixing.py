@@ -116,7 +116,9 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5,
 
     Null texts have size 0; a null source is a source, the last. A source without words
     has target 0. Rows that share a doc_id share a key: at the cut they split the words
-    left in proportion to their sizes. No rows give no rows. Other columns don't matter.
+    left in proportion to their sizes; a very long text is a row like any other, cut within
+    it if need be. No rows give no rows. Other columns, whatever their names, don't matter.
+    The table of sources, a short row each, is ranked in one task.
     """
     work = Work(docs.sparkSession, "mix")
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
