@@ -369,10 +369,20 @@ def _encode(batches: Iterator[pa.RecordBatch], books: np.ndarray, scaled) -> Ite
 
 
 class SmallWorld:
-    """A hierarchical graph in memory: insert, remove, get and search."""
+    """A hierarchical graph in memory: insert, remove, get and search.
 
-    def __init__(self, metric: str = "cosine", m: int = GRAPH_DEFAULTS["m"], ef_construction: int = GRAPH_DEFAULTS["ef_construction"], ef: int = GRAPH_DEFAULTS["ef"], seed: int = 1):
+    A node links to at most ``m`` others when it comes and keeps ``m_max`` of them (m), on the
+    ground ``m_max0`` (2 m); levels decline with ``level_scale`` (1 / ln m). ``search_algorithm``
+    chooses links: ``heuristic`` takes candidates that are nearer to the node than to any link
+    chosen before and fills up with the nearest, ``simple`` takes the nearest.
+    """
+
+    def __init__(self, metric: str = "cosine", m: int = GRAPH_DEFAULTS["m"], ef_construction: int = GRAPH_DEFAULTS["ef_construction"], ef: int = GRAPH_DEFAULTS["ef"], seed: int = 1, search_algorithm: str = GRAPH_DEFAULTS["search_algorithm"], m_max: int | None = None, m_max0: int | None = None, level_scale: float | None = None):
+        if search_algorithm not in ("heuristic", "simple"):
+            raise ValueError(f"unknown search algorithm {search_algorithm}")
         self.metric, self.m, self.ef_construction, self.ef = metric, m, ef_construction, ef
+        self.heuristic = search_algorithm == "heuristic"
+        self.m_max, self.m_max0, self.level_scale = m_max or m, m_max0 or 2 * m, level_scale or 1 / math.log(max(2, m))
         self.random = np.random.default_rng(seed)
         self.vectors: dict[int, np.ndarray] = {}
         self.level: dict[int, int] = {}
@@ -416,7 +426,7 @@ class SmallWorld:
         if node in self.vectors:
             self.remove(node)
         q = np.asarray(vector, float)
-        top = int(-math.log(1 - self.random.random()) / math.log(self.m)) if self.entry is not None else 0
+        top = int(-math.log(1 - self.random.random()) * self.level_scale) if self.entry is not None else 0
         self.vectors[node], self.level[node] = q, top
         while len(self.links) <= top:
             self.links.append({})
@@ -428,17 +438,36 @@ class SmallWorld:
         start = self._down(q, min(top, self.level[self.entry]))
         for level in range(min(top, self.level[self.entry]), -1, -1):
             found = self.beam(q, start, self.ef_construction, level)
-            most = 2 * self.m if level == 0 else self.m
-            for d, other in found[: self.m]:
+            most = self.m_max0 if level == 0 else self.m_max
+            for d, other in self.select(found, self.m):
                 self.links[level][node][other] = d
                 back = self.links[level][other]
                 back[node] = d
                 if len(back) > most:
-                    del back[max(back, key=lambda x: (back[x], x))]
+                    self.links[level][other] = {i: e for e, i in self.select(sorted((e, i) for i, e in back.items()), most)}
             start = [i for _, i in found]
         if top > self.level[self.entry]:
             self.entry = node
 
+    def select(self, found: list[tuple[float, int]], most: int) -> list[tuple[float, int]]:
+        """Links among candidates (distance, node), nearest first."""
+        if not self.heuristic or len(found) <= most:
+            return found[:most]
+        between = distances(x := np.array([self.vectors[i] for _, i in found]), x, self.metric)
+        chosen: list[int] = []
+        for k, (d, _) in enumerate(found):
+            if all(d < between[k, c] for c in chosen):
+                chosen.append(k)
+                if len(chosen) == most:
+                    break
+        taken = set(chosen)
+        rest = [k for k in range(len(found)) if k not in taken]
+        return [found[k] for k in sorted(chosen + rest[: most - len(chosen)])]
+
+    def get(self, node: int) -> np.ndarray | None:
+        """A node's vector, None if it isn't there."""
+        return self.vectors.get(node)
+
     def remove(self, node: int) -> bool:
         """Takes a node out and joins its neighbours with one another; false if it isn't there."""
         if node not in self.vectors:
@@ -491,7 +520,7 @@ def build_graphs(rows: DataFrame, *, id_column: str, vector: str = "embedding",
     """The adjacency table of one graph for each shard; shards hold about ``shard_rows`` rows each."""
     shards = max(1, math.ceil(rows.count() / shard_rows))
     v = V.as_vector(vector)
-    flat = rows.filter(v.isNotNull()).select(F.pmod(F.xxhash64(id_column), F.lit(shards)).cast("int").alias("shard"), F.col(id_column).cast("long").alias("id"), v.alias("v"))
+    flat = rows.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(id_column), F.lit(shards)).cast("int").alias("shard"), F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         g = SmallWorld(metric, **params)

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from quilldex.functions import vectors as V
+from quilldex.functions.scalars import default_of
 from quilldex.plans.filters import equal_all
 from quilldex.types import COLUMN_TYPES, CollectionSpec
 
 
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
-    """Of the changes of a key the last one."""
-    order = F.row_number().over(Window.partitionBy(key).orderBy(F.col(seq).desc()))
-    return changes.withColumn("_nth", order).filter("_nth = 1").drop("_nth")
+    """Of the changes of a key the last one; of several with the same ``seq`` always the same one.
+
+    One aggregation with partial results on the map side: a hot key's changes meet as one row a task.
+    """
+    order = F.struct(F.col(seq), F.xxhash64(*[F.col(f"`{c}`") for c in changes.columns]))
+    return changes.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max_by(F.struct("*"), order).alias("_row")).select("_row.*")
 
 
 def upsert(rows: DataFrame, changes: DataFrame, key: str, seq: str | None = None) -> DataFrame:
-    """Rows with changes applied: new keys are inserted, known ones replaced, the last change of a key wins."""
-    if seq is not None:
-        changes = latest(changes, key, seq).drop(seq)
+    """Rows with changes applied: new keys are inserted, known ones replaced, the last change of a key wins.
+
+    The last is that with the highest ``seq``, or without one the last in the order of ``changes``.
+    """
+    order = "_at" if seq is None else seq
+    changes = latest(changes.withColumn("_at", F.monotonically_increasing_id()) if seq is None else changes, key, order).drop(order)
     kept = rows.join(changes.select(key), key, "left_anti").select(rows.columns)
     return kept.unionByName(changes, allowMissingColumns=True)
 
@@ -53,6 +61,21 @@ def problems(spec: CollectionSpec) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def metadata_bytes(columns: list[str], schema: T.StructType) -> Column:
+    """Bytes of a row's metadata: each column's name and its value, text by its length, truth values 1, numbers 8, none 0."""
+    total = F.lit(0).cast("long")
+    for name in columns:
+        col, kind = F.col(f"`{name}`"), schema[name].dataType
+        size = F.octet_length(col) if isinstance(kind, T.StringType) else F.lit(1 if isinstance(kind, T.BooleanType) else 8)
+        total = total + len(name.encode()) + F.when(col.isNull(), 0).otherwise(size)
+    return total
+
+
+def with_defaults(rows: DataFrame, spec: CollectionSpec) -> DataFrame:
+    """Missing values of declared columns replaced by their type's default."""
+    return rows.withColumns({c.name: F.coalesce(F.col(f"`{c.name}`"), F.lit(default_of(c.type)).cast(COLUMN_TYPES[c.type])) for c in spec.columns if c.type != "vector"})
+
+
 def typed_from_text(raw: Column, kind: str) -> tuple[Column, Column]:
     """(value, whether the text is one of that type) of a JSON scalar's text."""
     if kind == "string":

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def compact(log: DataFrame, now: int | None = None) -> DataFrame:
     """(key, value, seq, expire) of live keys: the last record of each, unless it deletes or has expired.
 
-    One aggregation by key with partial results on the map side; no sort.
+    One aggregation by key with partial results on the map side; of records with the same seq
+    always the same one counts.
     """
-    last = log.groupBy("key").agg(F.max_by(F.struct("value", "expire", "deleted"), "seq").alias("r"), F.max("seq").alias("seq"))
+    order = F.struct("seq", F.xxhash64("value", "expire", "deleted"))
+    last = log.groupBy("key").agg(F.max_by(F.struct("value", "expire", "deleted"), order).alias("r"), F.max("seq").alias("seq"))
     live = ~F.coalesce(F.col("r.deleted"), F.lit(False))
     if now is not None:
         live = live & ((F.coalesce(F.col("r.expire"), F.lit(0)) == 0) | (F.col("r.expire") > now))

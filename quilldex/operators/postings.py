@@ -39,6 +39,21 @@ def ids_of(bitmaps: DataFrame, name: str = "id") -> DataFrame:
     return bitmaps.select(F.col("bucket").cast("long").alias("bucket"), "bits").mapInArrow(lambda b: _ids(b, name), f"`{name}` long")
 
 
+def rows_of(rows: DataFrame, bitmaps: DataFrame, id_column: str) -> DataFrame:
+    """The rows whose ids are set: a semi join, so columns and filters of ``rows`` still reach their scan."""
+    ids = ids_of(bitmaps, "_posted")
+    return rows.join(ids, F.col(id_column) == F.col("_posted"), "left_semi")
+
+
+def save(postings: DataFrame, path: str) -> None:
+    """A snapshot, a folder for each column, so that a search reads its own columns only."""
+    postings.write.partitionBy("column").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.schema("value string, bucket long, bits binary, column string").parquet(path).select("column", "value", "bucket", "bits")
+
+
 def _ids(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """Bucket 1 begins at id 1; buckets up to 0 count down from id 0."""
     for batch in batches:

@@ -8,6 +8,7 @@ always (distance, id); rows without a distance come last.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -74,16 +75,21 @@ def hybrid(rows: DataFrame, query: Sequence[float], k: int, wanted: dict[str, st
     return near.filter(text_filter(wanted, rows.schema)).orderBy(F.col("distance").asc_nulls_last(), id_column).limit(k)
 
 
-def multi_vector(rows: DataFrame, parts: Sequence[dict], k: int, *, id_column: str, metric: str = "cosine") -> DataFrame:
+def multi_vector(rows: DataFrame, parts: Sequence[dict], k: int, *, id_column: str, metric: str = "cosine", where: dict | None = None, dims: dict[str, int] | None = None) -> DataFrame:
     """The k rows of highest weighted score.
 
     ``parts`` name, vector, include, ratio: the ratios of included vectors must sum to 100;
-    excluded ones are still checked. A row that lacks an included vector has no score and comes last.
+    excluded ones are still checked, their dimension too. A row that lacks an included vector has
+    no score and comes last. ``where`` filters first: the search of several vectors is hybrid then.
     """
+    if where is not None:
+        rows = rows.filter(compile_filter(where, rows.schema))
     used = [p for p in parts if p.get("include", True)]
     for p in parts:
         if p["name"] not in rows.columns:
             raise ValueError(f"not a defined vector: {p['name']}")
+        if dims and p["name"] in dims:
+            check_dimension(p["vector"], dims[p["name"]])
     if sum(p["ratio"] for p in used) != 100:
         raise ValueError("the ratios of the included vectors must sum to 100")
     scores = [(V.compare(F.col(p["name"]), p["vector"], metric), p["ratio"]) for p in used]
@@ -165,6 +171,13 @@ def _best(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, lo
     yield pa.RecordBatch.from_arrays([pa.array(qids[rows], pa.int64()), pa.array(who[rows, cols], pa.int64()), pa.array(near[rows, cols], pa.float64())], names=["qid", "id", "distance"])
 
 
+def measured(found: DataFrame) -> tuple[list, dict]:
+    """The rows of a search, and their number and the milliseconds that it took."""
+    began = time.perf_counter()
+    rows = found.collect()
+    return rows, {"size": len(rows), "latency_ms": (time.perf_counter() - began) * 1000}
+
+
 def merge_results(parts: Sequence[DataFrame], k: int, *, id_column: str, by: str = "score") -> DataFrame:
     """The best k rows of several results, each id once with its best ``by``; as shards' results are merged."""
     union = parts[0]

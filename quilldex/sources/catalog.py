@@ -1,11 +1,14 @@
 """Collections on any file system that Spark reaches: Parquet snapshots and a pointer to the current one.
 
 <root>/<name>/spec.json       the collection's declaration
-<root>/<name>/v=<n>/          a snapshot
-<root>/<name>/CURRENT         number of the snapshot that counts
-
-A write makes a new snapshot and moves the pointer by a rename: readers see the old rows or
-the new ones. Without versioning older snapshots are removed after the switch.
+<root>/<name>/v=<n>/          a snapshot; vectors of quantized collections are stored as their codes
+<root>/<name>/feed=<n>/       the last change of every key that a change feed has brought
+<root>/<name>/index=<n>/      a graph index of snapshot n
+<root>/<name>/CURRENT.<n>     snapshot n counts, unless there is a higher one; its text numbers the feed's table
+
+A write makes a new snapshot and then renames one small file to CURRENT.<n>: readers see the
+old rows or the new ones, and whatever ends a write half way leaves the old ones in force.
+Without versioning the snapshot before stays for those who read it, older ones are removed.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilldex.operators import dml
+from quilldex.functions import quantize as Q
+from quilldex.operators import ann, dml
 from quilldex.types import CollectionError, CollectionSpec
 
 
@@ -51,7 +55,7 @@ class Store:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Written beside and renamed, so that a reader never sees half of it."""
+        """A new small file, written beside and renamed, so that a reader never sees half of it."""
         p, made = self.path(name), self.path(f"{name}.new")
         fs = self._fs(p)
         stream = fs.create(made, True)
@@ -59,8 +63,7 @@ class Store:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        fs.delete(p, False)
-        if not fs.rename(made, p):
+        if fs.exists(p) or not fs.rename(made, p):
             raise CollectionError(f"could not write {p}")
 
 
@@ -114,11 +117,16 @@ class Catalog:
         return sorted(int(v[2:]) for v in self.store.names(name) if v.startswith("v="))
 
     def current(self, name: str) -> int:
-        return int(self.store.read(f"{name}/CURRENT"))
+        """The highest snapshot that has been made to count."""
+        return max(self._pointers(name))
+
+    def _pointers(self, name: str) -> list[int]:
+        return [int(n.removeprefix("CURRENT.")) for n in self.store.names(name) if n.startswith("CURRENT.") and not n.endswith(".new")]
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        self.spec(name)
-        return self.spark.read.parquet(f"{self.store.root}/{name}/v={self.current(name) if version is None else version}")
+        spec = self.spec(name)
+        stored = self.spark.read.parquet(f"{self.store.root}/{name}/v={self.current(name) if version is None else version}")
+        return Q.decoded(stored, spec.quantization, list(spec.vector_columns()))
 
     def load(self, name: str) -> DataFrame:
         """Reads the current snapshot; storage spills to disk where memory ends."""
@@ -147,23 +155,87 @@ class Catalog:
         for name in [*self._loaded]:
             self.flush(name)
 
-    def _snapshot(self, spec: CollectionSpec, rows: DataFrame) -> int:
-        known = self.versions(spec.name)
-        version = known[-1] + 1 if known else 1
-        rows.write.parquet(f"{self.store.root}/{spec.name}/v={version}")
-        self.store.write(f"{spec.name}/CURRENT", str(version))
+    def _snapshot(self, spec: CollectionSpec, rows: DataFrame, feed: DataFrame | None = None) -> int:
+        name, pointers = spec.name, self._pointers(spec.name)
+        # numbers of writes that came to nothing are not used again
+        version = max([0, *pointers, *self.versions(name)]) + 1
+        Q.encoded(rows, spec.quantization, list(spec.vector_columns())).write.parquet(f"{self.store.root}/{name}/v={version}")
+        number = version
+        if feed is not None:
+            feed.write.parquet(f"{self.store.root}/{name}/feed={version}")
+        else:
+            number = self._feed_number(name)
+        self.store.write(f"{name}/CURRENT.{version}", str(number))
         if not spec.versioning:
-            for old in known:
-                self.store.remove(f"{spec.name}/v={old}")
+            keep = {version, *pointers[-1:], max(pointers, default=version)}
+            for old in self.versions(name):
+                if old not in keep:
+                    for part in (f"CURRENT.{old}", f"index={old}", f"v={old}", *([f"feed={old}"] if old != number else [])):
+                        self.store.remove(f"{name}/{part}")
         return version
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
+    def _feed_number(self, name: str) -> int:
+        pointers = self._pointers(name)
+        return int(self.store.read(f"{name}/CURRENT.{max(pointers)}")) if pointers else 0
+
+    def fed(self, name: str) -> DataFrame | None:
+        """(key, seq): the last change of every key that a feed has brought, deleted ones too; None before the first."""
+        number = self._feed_number(name)
+        return self.spark.read.parquet(f"{self.store.root}/{name}/feed={number}") if number else None
+
+    def apply(self, name: str, changes: DataFrame, op: str, seq: str) -> None:
+        """A batch of changes as one snapshot; ``op`` is upsert or delete.
+
+        The last change of a key by ``seq`` counts, over this batch and all before: an older
+        one that comes late changes nothing, nor does a batch that comes again.
+        """
+        spec = self.spec(name)
+        if spec.key is None:
+            raise CollectionError(f"{name} has no primary key")
+        last, known = dml.latest(changes, spec.key, seq), self.fed(name)
+        if known is not None:
+            before = known.select(F.col("key").alias("_key"), F.col("seq").alias("_seq"))
+            last = last.join(before, F.col(spec.key) == F.col("_key"), "left").filter(F.col("_seq").isNull() | (F.col(seq) > F.col("_seq"))).drop("_key", "_seq")
+        last = last.persist()
+        try:
+            if last.isEmpty():
+                return
+            feed = last.select(F.col(spec.key).alias("key"), F.col(seq).cast("long").alias("seq"))
+            if known is not None:
+                feed = known.join(feed.select("key"), "key", "left_anti").unionByName(feed)
+            kept = dml.delete_keys(self.rows(name), last, spec.key)
+            new = dml.checked(last.filter(F.col(op) != "delete").drop(op, seq), spec)
+            self._replace(name, kept.unionByName(new, allowMissingColumns=True), feed)
+        finally:
+            last.unpersist()
+
+    def _replace(self, name: str, rows: DataFrame, feed: DataFrame | None = None) -> None:
         """Makes changed rows the current snapshot and loads it, which cuts the plan that led there."""
         spec, before = self.spec(name), self.rows(name)
-        self._snapshot(spec, rows)
+        self._snapshot(spec, rows, feed)
         before.unpersist()
         self.load(name)
 
+    def build_index(self, name: str, id_column: str, vector: str = "vector", **how) -> int:
+        """Writes the graph index of the current snapshot, as the collection's ``graph`` configures it; returns the snapshot's number."""
+        spec, version = self.spec(name), self.current(name)
+        config = {k: v for k, v in spec.graph.items() if k in ("m", "ef_construction", "search_algorithm", "m_max", "m_max0", "level_scale")}
+        graphs = ann.build_graphs(self.read(name, version), id_column=id_column, vector=vector, metric=spec.distance, **config | how)
+        graphs.write.parquet(f"{self.store.root}/{name}/index={version}")
+        return version
+
+    def index(self, name: str) -> DataFrame:
+        """The index of the current snapshot; one of older rows doesn't count."""
+        version = self.current(name)
+        if not self.store.exists(f"{name}/index={version}"):
+            raise CollectionError(f"collection {name} has no index of its current rows")
+        return self.spark.read.schema(ann.GRAPH_SCHEMA).parquet(f"{self.store.root}/{name}/index={version}")
+
+    def search_index(self, name: str, queries: DataFrame, k: int, *, vector: str = "vector", ef: int | None = None) -> DataFrame:
+        """(qid, id, distance, rank) of many queries (qid, vector) from the stored index."""
+        spec = self.spec(name)
+        return ann.search_graphs_many(self.index(name), queries, k, vector=vector, metric=spec.distance, ef=ef or spec.graph["ef"])
+
     def insert(self, name: str, rows: DataFrame) -> None:
         self._replace(name, self.rows(name).unionByName(dml.checked(rows, self.spec(name)), allowMissingColumns=True))
 
@@ -180,8 +252,9 @@ class Catalog:
         self._replace(name, dml.delete_where(self.rows(name), wanted))
 
     def size(self, name: str) -> dict:
-        """Rows, and bytes of their vectors as stored."""
+        """Rows, bytes of their numbers and vectors as stored, and bytes of their metadata."""
         spec = self.spec(name)
-        width = {"none": 4, "f16": 2, "bf16": 2, "f8": 1}[spec.quantization]
-        n = self.rows(name).agg(F.count("*")).first()[0]
-        return {"rows": n, "bytes": n * (8 + width * sum(spec.vector_columns().values()))}
+        width = Q.WIDTHS[spec.quantization]
+        metadata = dml.metadata_bytes([c.name for c in spec.columns if c.type != "vector"], self.rows(name).schema)
+        n, m = self.rows(name).agg(F.count("*"), F.coalesce(F.sum(metadata), F.lit(0))).first()
+        return {"rows": n, "bytes": n * (8 + width * sum(spec.vector_columns().values())), "metadata_bytes": m}

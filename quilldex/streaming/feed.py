@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quilldex.operators import dml
 from quilldex.sources.catalog import Catalog
 
 OP = "_op"
@@ -20,23 +19,13 @@ def watch(spark: SparkSession, path: str, schema: T.StructType, files_per_batch:
 def apply_changes(catalog: Catalog, name: str, changes: DataFrame, checkpoint: str, seq: str, trigger: dict | None = None):
     """Starts the stream that keeps a collection up to date; ``_op`` is upsert or delete.
 
-    Within a batch the last change of a key counts. A batch that runs again after a failure
-    leads to the same rows, as changes are keyed.
+    Every batch is one snapshot. The last change of a key counts, over all batches: the
+    collection remembers each key's ``seq``, so changes may come late and batches again.
     """
-    spec = catalog.spec(name)
-    if spec.key is None:
+    if catalog.spec(name).key is None:
         raise ValueError(f"{name} has no primary key")
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = dml.latest(batch, spec.key, seq).persist()
-        try:
-            gone = last.filter(f"{OP} = 'delete'")
-            if not gone.isEmpty():
-                catalog._replace(name, dml.delete_keys(catalog.rows(name), gone, spec.key))
-            new = last.filter(f"{OP} <> 'delete'").drop(OP, seq)
-            if not new.isEmpty():
-                catalog.upsert(name, new)
-        finally:
-            last.unpersist()
+        catalog.apply(name, batch, OP, seq)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -77,3 +77,49 @@ def test_textual_identifiers(spark):
 def test_shards_are_even(spark):
     counts = [r["count"] for r in spark.range(10_000).groupBy(S.shard_of(F.col("id"))).count().collect()]
     assert len(counts) == 16 and max(counts) < 1.25 * min(counts)
+
+
+def test_identifiers_and_hashes(spark):
+    from quilldex.functions import scalars as S
+
+    def plain(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return h
+
+    texts = ["", "a", "foobar", "é日🙂", "x" * 300, *(str(k) for k in range(999))]
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", S.fnv1a(F.col("t")).alias("h"), S.fnv_shard(F.col("t"), 3).alias("s"))
+    got = {r.t: (r.h, r.s) for r in frame.collect()}
+    assert got.pop(None) == (None, None)
+    assert all((h % (1 << 64), s) == (plain(t), plain(t) % 3) for t, (h, s) in got.items())
+    shares = [sum(s == k for t, (_, s) in got.items() if t.isdigit()) for k in range(3)]
+    assert min(shares) > 250
+    one = spark.range(1).select(S.distinct_ints(50, 20, 3).alias("x")).first().x
+    assert len(set(one)) == 20 and set(one) <= set(range(50))
+
+
+def test_links_are_chosen_as_configured():
+    import numpy as np
+
+    from quilldex.operators.ann import SmallWorld
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((300, 8))
+    recall = {}
+    for algorithm in ("heuristic", "simple"):
+        g = SmallWorld("euclidean", m=6, ef_construction=40, search_algorithm=algorithm, m_max0=8, m_max=5)
+        for k, v in enumerate(x):
+            g.insert(k, v)
+        assert max(len(v) for v in g.links[0].values()) <= 8 and all(len(v) <= 6 for level in g.links[1:] for v in level.values())
+        assert g.get(7).tolist() == x[7].tolist() and g.get(1000) is None
+        exact = [np.argsort(((x - q) ** 2).sum(1))[:5].tolist() for q in x[:50]]
+        recall[algorithm] = np.mean([len({i for _, i in g.search(q, 5, 60)} & set(e)) / 5 for q, e in zip(x[:50], exact)])
+    assert recall["heuristic"] >= 0.9
+    # candidates in one direction: the heuristic keeps one of them and the one on the other side
+    g = SmallWorld("euclidean", m=2)
+    g.vectors = {k: np.array([v, 0.0]) for k, v in enumerate((1.0, 1.1, 1.2, -2.0))}
+    found = [(1.0, 0), (1.1, 1), (1.2, 2), (2.0, 3)]
+    assert [i for _, i in g.select(found, 2)] == [0, 3]
+    g.heuristic = False
+    assert [i for _, i in g.select(found, 2)] == [0, 1]
