@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import bloom
 from .common import Work, trimmed
@@ -42,7 +42,7 @@ PLAIN_LEVELS, LEVELS = 3, 16
 #: texts of other classes out of it.
 PICK = 1_000_000
 SLICE_ROWS = 500
-_MARKS = [StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sketch", BinaryType())]
+_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 _SETS = pa.schema([("digest", pa.binary()), ("data", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _rng = np.random.default_rng(20240229)
@@ -91,32 +91,39 @@ def digest_of(x: np.ndarray) -> bytes:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows as they come, each with the size, digest and sketch of its text's set."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
-            row = batch.column(0).slice(at, SLICE_ROWS)
-            sets = shingle_sets(texts_of(row.field("text")), width)
+            part = batch.slice(at, SLICE_ROWS)
+            sets = shingle_sets(texts_of(part.column(1)), width)
             full = [s for s in sets if len(s)]
             lines = iter(sketches(full)) if full else iter(())
             digests = [digest_of(s) if len(s) else None for s in sets]
             sketch = [next(lines).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([row, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], names=["row", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], schema=_ROWS)
+
+
+def _mark(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, each with the digest of its text's set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            row = batch.column(0).slice(at, SLICE_ROWS)
+            digests = [digest_of(s) if len(s) else None for s in shingle_sets(texts_of(row.field("text")), width)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(digests, pa.binary())], names=["row", "digest"])
 
 
 def _pick(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sets of the digests that the filter may hold, each once a task; other texts are not looked at."""
+    """Sets whose digests the filter may hold, each once a task."""
     seen: set[bytes] = set()
     for batch in batches:
-        hit = bloom.may_hold(bits, digests := batch.column(0).to_pylist())
-        wanted = []
-        for k in np.flatnonzero(hit).tolist():
-            if digests[k] not in seen:
-                seen.add(digests[k])
-                wanted.append(k)
-        for at in range(0, len(wanted), SLICE_ROWS):
-            part = wanted[at : at + SLICE_ROWS]
-            sets = shingle_sets(texts_of(batch.column(1).take(pa.array(part))), width)
-            yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in part], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SETS)
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            sets = [s for s in shingle_sets(texts_of(batch.column(0).slice(at, SLICE_ROWS)), width) if len(s)]
+            digests, keys, data = [digest_of(s) for s in sets], [], []
+            for k in np.flatnonzero(bloom.may_hold(bits, digests)).tolist():
+                if digests[k] not in seen:
+                    seen.add(digests[k])
+                    keys.append(digests[k])
+                    data.append(sets[k].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], schema=_SETS)
 
 
 def forest(near: np.ndarray) -> np.ndarray:
@@ -313,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     unless it has no other. No rows give no rows; other columns don't matter.
     """
     work = Work(docs.sparkSession, "near")
-    rows, named = _classes(docs.select("doc_id", "text"), work, width, percent)
+    rows, named = _classes(docs, work, width, percent)
     named = named.select(F.col("digest").alias("key"), "component_id")
     out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("key"), "left")
     return out.select(
@@ -322,15 +329,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, n, digest, sketch) and classes (digest, component, first, component_id), both written.
+    """Rows (doc_id, n, digest, sketch) and classes (digest, component, first, component_id), both written.
 
-    Every text is shingled once; those of families once more. ``row`` holds the columns of
-    ``docs``, which so can't clash with ours; ``component`` numbers the components; ``first``
-    is the smallest doc_id of the class.
+    ``component`` numbers the components; ``first`` is the smallest doc_id of the class. Texts
+    are read and shingled again where they are needed again: a written copy of them would cost
+    more disk than the rest of the work.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    marked = packed.mapInArrow(trimmed(lambda x: _rows(x, width)), StructType([*packed.schema.fields, *_MARKS]))
-    rows = work.keep(marked, "rows").withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(lambda x: _rows(x, width)), "doc_id long, n long, digest binary, sketch binary")
+    rows = work.keep(rows, "rows")
     full = rows.filter("digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = work.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -338,7 +344,7 @@ def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[Dat
     roots = branch(classes.select(F.lit(0).cast("long").alias("node"), "id", "n"), tokens, TREES, False)
     maybe = explore(work.keep(roots, "roots"), tokens, classes.select("id", "n", F.col("sketch").alias("data")), work, percent, False)
     family = work.keep(components(maybe, work).join(classes.select("id", "n", "digest"), "id"), "families")
-    sets = work.keep(_sets_of(rows, family, width), "sets", "none")
+    sets = work.keep(_sets_of(docs, family, width), "sets", "none")
     links = explore(family.select(F.col("component").alias("node"), "id", "n"), tokens, sets, work, percent, True)
     known = components(links, work)
     named = classes.select("id", "digest", "first").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -367,7 +373,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     copies = copies.groupBy("digest").agg(F.count("*").alias("copies"), F.count_if(F.col("doc_id").eqNullSafe(F.col("first"))).alias("again"))
     plan = lost.join(copies, "digest").filter("not wins or copies > 1").select(F.col("digest").alias("of"), "first", "wins", "again")
     plan = work.keep(plan, "plan")
-    packed, alone = rows.select("row", "doc_id", "digest"), None
+    # a row's columns travel as one, so that none can clash with the plan's
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = packed.mapInArrow(trimmed(lambda x: _mark(x, width)), StructType([*packed.schema.fields, StructField("digest", BinaryType())]))
+    packed, alone = packed.withColumn("doc_id", F.col("row.doc_id").cast("long")), None
     if (n := plan.count()) > PICK:
         # what the filter does not hold is in no such class and stays as it is; only the rest meets the plan
         told = bloom.with_hits(packed, "digest", bloom.sent(plan, "of", n))
@@ -380,16 +389,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out if alone is None else out.unionByName(alone)
 
 
-def _sets_of(rows: DataFrame, family: DataFrame, width: int) -> DataFrame:
+def _sets_of(docs: DataFrame, family: DataFrame, width: int) -> DataFrame:
     """(id, n, data) of the classes in families.
 
-    A Bloom filter of their digests, 16 MB at most, tells which texts are shingled once more;
-    the join with the digests takes the few wrong ones out. No text is shuffled, and sets of
-    other classes aren't either, as long as the filter isn't full.
+    Texts are read and shingled once more. A Bloom filter of the families' digests, 16 MB at
+    most, tells which sets go on; the join with the digests takes the few wrong ones out. No
+    text is shuffled, and sets of other classes aren't either, as long as the filter isn't full.
     """
     key = family.select("id", "n", "digest")
     bits = bloom.sent(key, "digest", key.count())
-    picked = rows.filter("digest is not null").select("digest", "row.text").mapInArrow(trimmed(lambda x: _pick(x, width, bits.value)), "digest binary, data binary")
+    picked = docs.select("text").mapInArrow(trimmed(lambda x: _pick(x, width, bits.value)), "digest binary, data binary")
     return picked.join(key, "digest").groupBy("id").agg(F.first("n").alias("n"), F.first("data").alias("data"))
 
 
