@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bits for a digest, probes, and the most bits of a filter (16 MB): beyond, more rows pass, none is lost.
 BITS_EACH, PROBES, LEAST_BITS, MOST_BITS = 16, 4, 1 << 16, 1 << 27
@@ -67,14 +67,13 @@ def may_hold(bits: np.ndarray, digests: list[bytes | None]) -> np.ndarray:
 
 
 def with_hits(rows: DataFrame, column: str, bits) -> DataFrame:
-    """Adds ``hit``: whether the filter (broadcast) may hold a row's digest; a map, no shuffle."""
+    """Adds ``hit``: whether the filter (broadcast) may hold a row's digest; only the digests go to Python, nothing is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = may_hold(bits.value, batch.column(batch.schema.get_field_index(column)).to_pylist())
-            yield batch.append_column("hit", pa.array(hit, pa.bool_()))
+    @F.pandas_udf("boolean")
+    def held(digests: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits.value, digests.tolist()), dtype=bool)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("hit", T.BooleanType())]))
+    return rows.withColumn("hit", held(column))
 
 
 def sent(digests: DataFrame, column: str, n: int):

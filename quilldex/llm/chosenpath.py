@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import bloom
 from .common import Work, trimmed
@@ -38,11 +37,8 @@ DEVIATIONS = 5
 NODE_MEMBERS, NODE_SHINGLES = 4096, 4_000_000
 #: Large nodes branch this often before stars around a pivot join and prune them; and at most.
 PLAIN_LEVELS, LEVELS = 3, 16
-#: Classes that lose rows up to which Spark alone chooses their join with the texts; beyond, a Bloom filter keeps
-#: texts of other classes out of it.
-PICK = 1_000_000
 SLICE_ROWS = 500
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("key", pa.binary())])
 _SETS = pa.schema([("digest", pa.binary()), ("data", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _rng = np.random.default_rng(20240229)
@@ -99,16 +95,7 @@ def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             lines = iter(sketches(full)) if full else iter(())
             digests = [digest_of(s) if len(s) else None for s in sets]
             sketch = [next(lines).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], schema=_ROWS)
-
-
-def _mark(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows as they come, each with the digest of its text's set."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            row = batch.column(0).slice(at, SLICE_ROWS)
-            digests = [digest_of(s) if len(s) else None for s in shingle_sets(texts_of(row.field("text")), width)]
-            yield pa.RecordBatch.from_arrays([row, pa.array(digests, pa.binary())], names=["row", "digest"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), part.column(2)], schema=_ROWS)
 
 
 def _pick(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -328,14 +315,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _key(text: str):
+    return F.unhex(F.md5(text)).alias("key")
+
+
 def _classes(docs: DataFrame, work: Work, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, digest, sketch) and classes (digest, component, first, component_id), both written.
+    """Rows (doc_id, n, digest, sketch, key) and classes (digest, component, first, component_id), both written.
 
-    ``component`` numbers the components; ``first`` is the smallest doc_id of the class. Texts
+    ``component`` numbers the components; ``first`` is the smallest doc_id of the class; ``key``
+    tells a text by itself, so that it is found again without its shingles. Texts
     are read and shingled again where they are needed again: a written copy of them would cost
     more disk than the rest of the work.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(lambda x: _rows(x, width)), "doc_id long, n long, digest binary, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key("text"))
+    rows = rows.mapInArrow(trimmed(lambda x: _rows(x, width)), "doc_id long, n long, digest binary, sketch binary, key binary")
     rows = work.keep(rows, "rows")
     full = rows.filter("digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -365,28 +358,26 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     work = Work(docs.sparkSession, "keep")
     rows, named = _classes(docs, work, width, percent)
-    # only classes that lose rows take part in the join: those not kept, and kept ones with copies
+    # only texts of classes that lose rows take part in the join: those not kept, and kept ones with copies
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest"))
     winners = named.groupBy("component").agg(best.alias("w")).select("component", "w.digest")
     lost = named.join(winners.withColumnRenamed("digest", "winner"), "component").select("digest", "first", (F.col("digest") == F.col("winner")).alias("wins"))
     copies = rows.filter("digest is not null").select("doc_id", "digest").join(named.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"))
     copies = copies.groupBy("digest").agg(F.count("*").alias("copies"), F.count_if(F.col("doc_id").eqNullSafe(F.col("first"))).alias("again"))
-    plan = lost.join(copies, "digest").filter("not wins or copies > 1").select(F.col("digest").alias("of"), "first", "wins", "again")
-    plan = work.keep(plan, "plan")
+    losing = lost.join(copies, "digest").filter("not wins or copies > 1").select("digest", "first", "wins", "again")
+    keys = rows.filter("digest is not null").select(F.col("key").alias("of"), "digest").distinct()
+    plan = work.keep(keys.join(losing, "digest"), "plan")
     # a row's columns travel as one, so that none can clash with the plan's
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    packed = packed.mapInArrow(trimmed(lambda x: _mark(x, width)), StructType([*packed.schema.fields, StructField("digest", BinaryType())]))
-    packed, alone = packed.withColumn("doc_id", F.col("row.doc_id").cast("long")), None
-    if (n := plan.count()) > PICK:
-        # what the filter does not hold is in no such class and stays as it is; only the rest meets the plan
-        told = bloom.with_hits(packed, "digest", bloom.sent(plan, "of", n))
-        packed, alone = told.filter("hit"), told.filter("not hit").select("row.*")
-    joined = packed.join(plan, F.col("digest") == F.col("of"), "left").filter("of is null or (wins and doc_id <=> first)")
-    out = joined.filter("of is null or again = 1").select("row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key("text"))
+    # what the filter does not hold is in no such class and stays as it is; only the rest is shuffled to meet the plan
+    told = bloom.with_hits(packed, "key", bloom.sent(plan, "of", plan.count()))
+    met = told.filter("hit").join(plan, F.col("key") == F.col("of"), "left")
+    joined = met.filter(F.col("of").isNull() | (F.col("wins") & F.col("row.doc_id").cast("long").eqNullSafe(F.col("first"))))
+    out = told.filter("not hit").select("row.*").unionByName(joined.filter("of is null or again = 1").select("row.*"))
     if not plan.filter("wins and again > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("digest").orderBy("row.text"))
         out = out.unionByName(joined.filter("again > 1").withColumn("nth", nth).filter("nth = 1").select("row.*"))
-    return out if alone is None else out.unionByName(alone)
+    return out
 
 
 def _sets_of(docs: DataFrame, family: DataFrame, width: int) -> DataFrame:
